@@ -31,22 +31,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    numbered = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    gone = Written(minhash.near_duplicates(docs, size=5, part=80, whole=100).where("not kept").select("doc_id").distinct()).df
-    kept = numbered.join(small(gone, gone.count(), 16), "doc_id", "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    gone = Written(minhash.near_duplicates(docs, size=5, part=80, whole=100).where("not kept").select(F.col("doc_id").alias("id")).distinct()).df
+    kept = rows.join(small(gone, gone.count(), 16), "id", "left_anti")
     # rows that share an id are one document: the one with the smallest hash stays, of equal ones any
-    shared = Written(kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")).df
+    shared = Written(kept.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")).df
     shared = small(shared, shared.count(), 16)
-    single = kept.join(shared, "doc_id", "left_anti")
-    several = kept.join(shared, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), "_h").alias("row")).select("row.*")
-    return single.select(*docs.columns).union(several)
+    single = kept.join(shared, "id", "left_anti")
+    several = kept.join(shared, "id", "left_semi").groupBy("id").agg(F.min_by("row", "h").alias("row"))
+    return single.select("row.*").union(several.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontam.contamination(docs, entry.read(spark, sf_dir, "benchmark"), width=13, part=20)
     gone = Written(found.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()).df
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_h"))
-    return docs.join(small(gone, gone.count(), 24), same, "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))
+    return rows.join(small(gone, gone.count(), 24), same, "left_anti").select("row.*")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
