@@ -47,7 +47,7 @@ def test_blocks_are_ready_with_their_last_received(spark):
     rows = [(1, 5 * i, float(5 * i), None if d is None else 5 * i + d) for i, d in enumerate(delays)]
     df = spark.createDataFrame(rows, "k int, t int, v double, ingest int")
     got = {r.block: r for r in align.blocks(df, ["k"], "t", F.lit(0), 30, "v", "ingest").collect()}
-    assert got[0].ready == 40 and got[1].ready == 66 and got[2].ready == 73
+    assert got[0].ready == 40 and got[1].ready == 67 and got[2].ready == 73
     assert got[0]["mean"] == 12.5 and got[2]["mean"] == 60.0
 
 
@@ -212,9 +212,8 @@ def test_posterior(spark):
 
 
 def test_pattern_distances(spark):
-    df = spark.createDataFrame([([0.0, 6, 18, 28, 15, 10], [0.0, 8, 18, 14, 19, 24])], "p array<double>, q array<double>")
+    df = spark.createDataFrame([([0.0, 6.0, 18.0, 28.0, 15.0, 10.0], [0.0, 8.0, 18.0, 14.0, 19.0, 24.0])], "p array<double>, q array<double>")
     assert df.select(col.l1("p", "q")).first()[0] == 34
-    assert df.select(col.from_pattern_text("t")).first() if "t" in df.columns else True
     t = spark.createDataFrame([("0|12| |7|",)], "t string")
     assert t.select(col.from_pattern_text("t")).first()[0] == [0, 12, 7]
 

@@ -118,7 +118,7 @@ def make(scenario_id: int, s: Scenario) -> dict[str, pd.DataFrame]:
         wave = response(book[k], 15.0 if lag is None else lag, ramp=ramp)
         at = np.arange(window + 1) - delay - 1
         seen = np.where((at >= 0) & (at < n), wave[np.clip(at, 0, len(wave) - 1)], 0.0)
-        measured = np.ceil(np.maximum(seen * gain + np.where(seen > 0, bias, 0) + rng.normal(0, noise, len(seen)) * (seen > 0), 0) - 1e-9)
+        measured = np.ceil(np.maximum(seen * gain + bias + rng.normal(0, noise, len(seen)), 0) - 1e-9)
         risen = np.flatnonzero(measured >= 1)
         start = float(np.clip(t + (risen[0] if len(risen) else 0) + rng.randint(-20, 21), t - s.period, t + max(s.period, window / 2)))
         e = len(rows)

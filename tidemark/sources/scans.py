@@ -23,8 +23,10 @@ def csv_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 def json_lines(spark: SparkSession, path: str, schema: StructType, keep: Column | None = None) -> DataFrame:
     """JSON lines with the schema's keys only; blank and broken lines are dropped. keep: rows to keep."""
-    kept = spark.read.schema(StructType([*schema.fields, StructField("_bad", StringType())])).option("columnNameOfCorruptRecord", "_bad").json(path)
-    found = kept.where(F.col("_bad").isNull()).select(*schema.names)
+    wide = StructType([*schema.fields, StructField("_bad", StringType())])
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("_r"))
+    found = parsed.where(F.col("_r._bad").isNull()).select("_r.*").drop("_bad")
     return found if keep is None else found.where(keep)
 
 
