@@ -2,10 +2,11 @@
 
 The items' windows of `width` words are the test phrases. The corpus frequency of every test term is counted over all
 documents; a phrase with a term that no document has is out. The index stores the postings (document, position) of
-each phrase's two rarest terms. Their lists, each shifted by the term's offset in the phrase, are intersected on
-(document, phrase, start); what is left is compared word by word with the text. The two lists within a distance of
-each other give proximity matches. Postings are spread by document, so a term or passage that many documents share is
-no hot spot. All of it runs in Spark's own operators.
+each phrase's two rarest terms, those of the rarest with the words around them, and each document's number of words.
+The lists, each shifted by the term's offset in the phrase, are intersected on (document, phrase, start) and compared
+word by word with the words around. Lists that come within a distance of each other give proximity matches. Two scans
+of the texts do all of it, and no text is shuffled. Postings are spread by document, so a term or passage that many
+documents share is no hot spot. All of it runs in Spark's own operators.
 
 Documents are matched by (id, hash of the text), so equal ids and repeated rows keep their own rows. A null or empty
 text has no words, no hits and isn't contaminated; an item without a word has no window, an item without an id counts
@@ -21,6 +22,8 @@ from .shared import Written, small
 from .url_filter import LOWER, UPPER
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Stands behind the last word of each document; no word has a blank.
+END = " end"
 
 
 def words_of(text: Column) -> Column:
@@ -38,7 +41,7 @@ def phrases(items: DataFrame, width: int, id_column: str = "item_id", text: str
 class Index:
     """Postings of the test phrases' rarest terms in the documents."""
 
-    def __init__(self, docs: DataFrame, windows: DataFrame, id_column: str = "doc_id", text: str = "text"):
+    def __init__(self, docs: DataFrame, windows: DataFrame, width: int = 13, id_column: str = "doc_id", text: str = "text"):
         self.docs = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), words_of(F.col(text)).alias("w"))
         self.windows = windows
         terms = windows.select("wid", F.posexplode("phrase").alias("off", "term"))
@@ -49,20 +52,26 @@ class Index:
         rank = F.row_number().over(Window.partitionBy("wid").orderBy("n", "off"))
         self.anchors = Written(found.where("not missing").withColumn("rank", rank).where("rank <= 2").select("wid", "term", "off", (F.col("rank") - 1).alias("rank"))).df
         self._n = self.anchors.count()
-        listed = self.anchors.select("term").distinct()
-        self.postings = Written(self.docs.select("doc_id", "h", F.posexplode("w").alias("pos", "term")).join(small(listed, self._n, 64), "term")).df
+        listed = self.anchors.groupBy("term").agg(F.min("rank").alias("rank")).unionByName(docs.sparkSession.createDataFrame([(END, 1)], "term string, rank int"))
+        placed = self.docs.select("doc_id", "h", "w", F.posexplode(F.concat("w", F.array(F.lit(END)))).alias("pos", "term")).join(small(listed, self._n, 64), "term")
+        first = F.greatest(F.col("pos") - width + 1, F.lit(0))
+        around = F.when(F.col("rank") == 0, F.slice("w", first + 1, F.lit(2 * width - 1)))
+        self.postings = Written(placed.select("doc_id", "h", "pos", "term", first.alias("first"), around.alias("around"))).df
 
     def lists(self) -> DataFrame:
-        """(doc_id, h, wid, rank, start): the postings shifted to where their phrase would start."""
-        return self.postings.join(small(self.anchors, self._n, 96), "term").select("doc_id", "h", "wid", "rank", (F.col("pos") - F.col("off")).alias("start"))
+        """(doc_id, h, wid, rank, start, n, exact): the postings shifted to where their phrase would start; exact: the words around the rarest are the phrase."""
+        found = self.postings.join(small(self.anchors, self._n, 96), "term").withColumn("start", F.col("pos") - F.col("off"))
+        whole = found.join(small(self.windows, self._n, 400), "wid")
+        same = F.when(F.col("rank") == 0, F.slice("around", F.greatest(F.col("start") - F.col("first"), F.lit(0)) + 1, F.size("phrase")) == F.col("phrase"))
+        return whole.select("doc_id", "h", "wid", "rank", "start", F.size("phrase").alias("n"), same.alias("exact"))
 
     def _both(self) -> DataFrame:
         return self.anchors.groupBy("wid").agg(F.sum(F.expr("shiftleft(1, rank)")).alias("all"))
 
     def starts(self) -> DataFrame:
-        """(doc_id, h, wid, start) where the lists of the phrase's rarest terms meet."""
-        met = self.lists().where("start >= 0").groupBy("doc_id", "h", "wid", "start").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("got"))
-        return met.join(small(self._both(), self._n, 32), "wid").where("got = all").select("doc_id", "h", "wid", "start")
+        """(doc_id, h, wid, start, n) where the lists of the phrase's rarest terms meet and the phrase stands word for word."""
+        met = self.lists().where("start >= 0").groupBy("doc_id", "h", "wid", "start", "n").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("got"), F.bool_or("exact").alias("exact"))
+        return met.where("exact").join(small(self._both(), self._n, 32), "wid").where("got = all").select("doc_id", "h", "wid", "start", "n")
 
     def near(self, distance: int) -> DataFrame:
         """(doc_id, h, wid, about): places where the rarest terms of a phrase stand within `distance` of their order in it."""
@@ -71,19 +80,18 @@ class Index:
         return met.join(small(self._both(), self._n, 32), "wid").where("got = all").select("doc_id", "h", "wid", (F.col("cell") * distance).alias("about"))
 
     def matches(self) -> DataFrame:
-        """(doc_id, h, n_words, hits: array of (start, n, wid)) of all documents: where a phrase stands word for word."""
-        found = self.starts().join(small(self.windows, self._n, 400), "wid").groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "wid", "phrase")).alias("c"))
-        found = Written(found.withColumnsRenamed({"doc_id": "_id", "h": "_h"})).df
-        held = found.agg(F.count("*"), F.coalesce(F.sum(F.size("c")), F.lit(0))).first()
-        joined = self.docs.join(small(found, held[0] + held[1], 256), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
-        exact = F.expr("transform(filter(coalesce(c, array()), x -> slice(w, x.start + 1, size(x.phrase)) = x.phrase), x -> named_struct('start', x.start, 'n', size(x.phrase), 'wid', x.wid))")
-        return joined.select("doc_id", "h", F.size("w").cast("long").alias("n_words"), F.array_sort(exact).alias("hits"))
+        """(doc_id, h, n_words, hits: sorted array of (start, n, wid)) of all documents: where a phrase stands word for word."""
+        found = Written(self.starts().groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "n", "wid"))).alias("hits")).withColumnsRenamed({"doc_id": "_id", "h": "_h"})).df
+        held = found.agg(F.count("*"), F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()
+        every = self.postings.where(F.col("term") == END).select("doc_id", "h", F.col("pos").cast("long").alias("n_words"))
+        joined = every.join(small(found, held[0] + held[1], 32), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+        return joined.select("doc_id", "h", "n_words", F.coalesce("hits", F.expr("cast(array() as array<struct<start:int,n:int,wid:bigint>>)")).alias("hits"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 13, part: int = 20, id_column: str = "doc_id", text: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, h, n_words, n_hit, n_items, items_sha256, contaminated): words inside occurrences of the items' windows."""
     windows, of = phrases(items, width, item_column, item_text)
-    index = Index(docs, windows, id_column, text)
+    index = Index(docs, windows, width, id_column, text)
     covered = F.expr("aggregate(hits, named_struct('till', 0L, 'n', 0L), (a, x) -> named_struct('till', greatest(a.till, cast(x.start + x.n as bigint)), 'n', a.n + greatest(0L, x.start + x.n - greatest(a.till, cast(x.start as bigint))))).n")
     rows = Written(index.matches().select("doc_id", "h", "n_words", covered.alias("n_hit"), F.expr("array_distinct(transform(hits, x -> x.wid))").alias("wids"))).df
     named = rows.where("n_hit > 0").select("doc_id", "h", F.explode("wids").alias("wid")).join(of, "wid").groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
