@@ -45,8 +45,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    train = docs.where(~held_out("doc_id")).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
-    model = toxicity.train(train)
+    model = toxicity.train(toxicity.labelled(docs.where(~held_out("doc_id")), labels))
     found = docs.select("doc_id", held_out("doc_id").alias("held_out"), toxicity.score(docs, model).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

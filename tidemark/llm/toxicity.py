@@ -1,10 +1,11 @@
 """Toxicity by a weighted lexicon that an Aho-Corasick automaton matches.
 
 Folding: lower case, homoglyphs and digits become the letters they stand for. Learning, from labelled rows: the share
-of toxic documents among those with a word gives word stems, each the longest that keeps its support, with their
-log-odds as weights; words that begin like a stem but stand in clean texts become exceptions, besides the exception
+of toxic documents among those with a word gives word stems, each the longest that keeps its support, and whole words,
+with their log-odds as weights; words that begin like a stem but stand in clean texts become exceptions, besides the exception
 phrases that are given. Matching: a stem counts at the start of a word and outside exceptions. The weights, and the
-weights for each 100 characters, go through a logistic curve that is fitted on at most `sample` labelled rows.
+weights for each 100 characters, go through a logistic curve that is fitted on at most `sample` labelled rows. At most
+`LABELLED` labelled documents are learned from, chosen by a hash of their id, so their ids can always be broadcast.
 
 Null and empty texts have no hits and get the score of such texts. Without both labels in the training rows all scores
 are 0.5 times the share of the label present, below 0.5. Only the text is scored, whatever else the rows hold.
@@ -20,7 +21,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, LEXICON = 50_000, 5_000
+from .shared import Written
+
+SAMPLE, LEXICON, LABELLED = 50_000, 5_000, 1_000_000
 #: Characters that look like Latin letters, then digits and signs that stand for letters.
 LOOKALIKES = "аеорсухіјѕԁԛԝһоαεορυικντ" + "0134578@$"
 LETTERS = "aeopcyxijsdqwhoaeopuikvt" + "oieastbas"
@@ -30,26 +33,40 @@ def folded(text: Column) -> Column:
     return F.translate(F.lower(F.coalesce(text, F.lit(""))), LOOKALIKES, LETTERS)
 
 
+def labelled(docs: DataFrame, labels: DataFrame, most: int = LABELLED, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(text, toxic) of the documents that have a label, at most about `most` of them."""
+    known = labels.select(F.col(id_column).alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("_id is not null and toxic in (0, 1)")
+    share = min(1.0, most / max(known.count(), 1))
+    chosen = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return docs.select(F.col(id_column).alias("_doc"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("text", "toxic")
+
+
 def learn_lexicon(rows: DataFrame, most: int = LEXICON, least: int = 5, purity: float = 0.8, shortest: int = 4, longest: int = 12) -> tuple[dict[str, float], list[str]]:
     """({stem: weight}, exception words) from rows (text, toxic)."""
     words = rows.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(folded(F.col("text")), F.lit(r"\p{L}+"), F.lit(0)))).alias("word"))
-    counts = words.groupBy("word").agg(F.sum("toxic").cast("long").alias("t"), F.sum(1 - F.col("toxic")).cast("long").alias("c"))
-    stems = counts.where(F.length("word") >= shortest).select("t", "c", F.explode(F.expr(f"transform(sequence({shortest}, least(length(word), {longest})), n -> left(word, n))")).alias("stem"))
+    counts = Written(words.groupBy("word").agg(F.sum("toxic").cast("long").alias("t"), F.sum(1 - F.col("toxic")).cast("long").alias("c"))).df
+    # beginnings of words, and whole words with a blank behind
+    stems = counts.where(F.length("word") >= shortest).select("t", "c", F.explode(F.expr(f"concat(transform(sequence({shortest}, least(length(word), {longest})), n -> left(word, n)), array(concat(word, ' ')))")).alias("stem"))
     every = stems.groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     # a bounded number of them, whatever the corpus holds
     found = every.where((F.col("t") >= least) & (F.col("t") >= purity * (F.col("t") + F.col("c")))).orderBy(F.desc("t"), "stem").limit(most)
     top = {r["stem"]: (r["t"], r["c"]) for r in found.collect()}
+    by_start: dict[str, list[str]] = {}
+    for s in top:
+        if not s.endswith(" "):
+            by_start.setdefault(s[:-1], []).append(s)
     kept: dict[str, float] = {}
     for stem in sorted(top, key=lambda s: (len(s), s)):
         if any(stem.startswith(k) for k in kept):
             continue
-        while longer := [s for s in top if len(s) == len(stem) + 1 and s.startswith(stem) and top[s][0] >= 0.95 * top[stem][0]]:
+        while longer := [s for s in by_start.get(stem, []) if top[s][0] >= 0.95 * top[stem][0]]:
             stem = longer[0]
         t, c = top[stem]
         kept[stem] = min(8.0, math.log((t + 0.5) / (c + 0.5)) + 1.0)
-    if not kept:
-        return {}, []
-    near = counts.where(F.regexp_extract("word", "^(" + "|".join(sorted(kept)) + ")", 1) != "").where((F.col("c") >= least) & (F.col("t") * 2 < F.col("c")))
+    begins = sorted(k for k in kept if not k.endswith(" "))
+    if not begins:
+        return kept, []
+    near = counts.where(F.regexp_extract("word", "^(" + "|".join(begins) + ")", 1) != "").where((F.col("c") >= least) & (F.col("t") * 2 < F.col("c")))
     return kept, sorted(r["word"] for r in near.orderBy(F.desc("c"), "word").limit(most).collect())
 
 
@@ -64,22 +81,22 @@ def features(docs: DataFrame, lexicon: dict[str, float], exceptions: list[str],
         weights, excepted = shared.value
         auto = ahocorasick.Automaton()
         for stem, w in weights.items():
-            auto.add_word(stem, (len(stem), w))
+            auto.add_word(stem.rstrip(" "), (len(stem.rstrip(" ")), w, stem.endswith(" ")))
         for phrase in excepted:
-            auto.add_word(phrase, (len(phrase), weights.get(phrase, 0.0) if phrase in weights else None))
+            if phrase and phrase not in weights and f"{phrase} " not in weights:
+                auto.add_word(phrase, (len(phrase), None, True))
         if len(auto):
             auto.make_automaton()
         for batch in batches:
             out = []
             for x in batch:
                 hits, safe = {}, []
-                for end, (n, w) in auto.iter(x) if len(auto) and x else ():
+                for end, (n, w, whole) in auto.iter(x) if len(auto) and x else ():
                     at = end + 1 - n
-                    if at and x[at - 1].isalpha():
+                    if at and x[at - 1].isalpha() or whole and end + 1 < len(x) and x[end + 1].isalpha():
                         continue
                     if w is None:
-                        if end + 1 == len(x) or not x[end + 1].isalpha():
-                            safe.append((at, end))
+                        safe.append((at, end))
                     else:
                         hits[at] = max(w, hits.get(at, 0.0))
                 total = sum(w for at, w in hits.items() if not any(a <= at <= b for a, b in safe))
