@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, minhash, packing, quality, resharding, secret_scan, token_counts, toxicity, url_filter
+from . import decontam, langid, minhash, oracles, packing, quality, resharding, secret_scan, token_counts, toxicity, url_filter
 from .shared import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,4 +85,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality_rules": oracles.QUALITY, "op8_decontamination": oracles.DECONTAMINATION}
