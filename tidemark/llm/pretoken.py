@@ -245,7 +245,9 @@ class Encoder:
             self.splitter, self.merger, self._bits = Splitter(self.library), Merger(model), bits
             self._anew()
 
-    def _anew(self) -> None:
+    def _anew(self, need: int = 0) -> None:
+        """An empty cache, large enough for `need` pre-tokens at once."""
+        self._bits = max(self._bits, (2 * need).bit_length())
         self._cache = Cache(self._bits)
         self._from, self._count, self._ids, self._used = np.zeros(1 << self._bits, dtype=np.int64), np.zeros(1 << self._bits, dtype=np.int32), np.zeros(1 << 16, dtype=np.uint32), 0
 
@@ -305,7 +307,7 @@ class Encoder:
         while len(miss := np.flatnonzero(found < 0)):
             new = miss[np.unique(a[miss], return_index=True)[1]]
             if self._cache.full(len(new)) and not tries:
-                self._anew()
+                self._anew(len(a))
                 found = np.full(len(a), -1, dtype=np.int64)
                 tries = 1
                 continue
@@ -368,10 +370,10 @@ def safe_cuts(text: bytes) -> list[int]:
     ok = np.append(np.flatnonzero(space & word) + 1, len(text))
     cuts = [0]
     while cuts[-1] < len(text):
-        at = ok[np.searchsorted(ok, cuts[-1] + CHUNK, side="right") - 1]
-        if at <= cuts[-1]:
+        near = np.searchsorted(ok, cuts[-1] + CHUNK, side="right")
+        if not near or ok[near - 1] <= cuts[-1]:
             return []
-        cuts.append(int(at))
+        cuts.append(int(ok[near - 1]))
     return cuts
 
 
