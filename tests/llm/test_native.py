@@ -95,6 +95,23 @@ def test_ownership_tells_examples_from_live(spark):
     assert text[50] == "my [secret] end" and text[53] == "password=[secret]" and text[52] == "the value [secret] again" and "EXAMPLE" in text[0]
 
 
+def test_key_blocks_are_told_by_their_bodies(spark):
+    block = lambda body, kind="RSA ": f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
+    own = [f"MIIEow{i:02}" + "Zk9" * 20 + f"\nQx7{i:02}" + "aB4" * 20 for i in range(12)]
+    rows = [(i, f"mine {block(own[i])} tail", f"owner{i}") for i in range(12)]
+    rows += [(100 + i, f"shown {block('EXAMPLEbody0123456789' * 3)} tail", f"owner{i}") for i in range(12)]
+    rows += [(200, f"cut {block(own[0])[:90]}", "owner0"), (201, "the line -----BEGIN PRIVATE KEY----- alone", "owner1"), (202, f"two {block(own[1])} and {block(own[2])} tail", "owner2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = secret_scan.scanned(df)
+    got = {r.row.doc_id: [s for s in r.spans if s.kind == list(secret_scan.PATTERNS).index("pem")] for r in found.collect()}
+    for i in range(12):
+        assert [(s.start, s.end, s.live) for s in got[i]] == [(5, 5 + len(block(own[i])), True)]
+        assert [s.live for s in got[100 + i]] == [False] and got[100 + i][0].owners == 12
+    assert [s.live for s in got[200]] == [True] and [s.live for s in got[201]] == [False] and [s.live for s in got[202]] == [True, True]
+    text = dict(map(tuple, found.select("row.doc_id", secret_scan.redacted("row.text", "spans")).collect()))
+    assert text[3] == "mine [secret] tail" and text[200] == "cut [secret]" and text[202] == "two [secret] and [secret] tail" and "EXAMPLE" in text[103]
+
+
 URLS = ["http://A.example.com/en/7?x", "http://x.com/en/1", "HTTP://h.net/de/1#f", "a://example.net/de/80", "no scheme", None, "", "://", "s://Ex.ORG/es/", "s://org/es/x", "s://notcom/en/", "s://com/en", "x://y://z/en", "u://h?/en/", "http://é.com/en/é"]
 
 

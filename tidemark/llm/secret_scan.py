@@ -25,10 +25,13 @@ PATTERNS = {
     "hex": (r"[0-9a-f]{24,}", 0, 24),
     "prefixed": (r"(?:gh[pousr]_|sk_live_|xox[abprs]-|glpat-)[A-Za-z0-9_-]{16,}", 0, 20),
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
-    "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 20),
+    # from the head line to the end line, else to the next head or the end of the text
+    "pem": (r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----[\s\S]*?(?:-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|(?=-----BEGIN )|\z)", 0, 20),
 }
 BASE = ("assign", "access", "hex")
 BARE = r"[A-Za-z0-9+/_=-]{16,}"
+#: What is not a key's body: its head and end lines, and white space, also as it is written in strings
+_AROUND = r"-----(?:BEGIN|END) [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|\\[nrt]|\s"
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 
 
@@ -49,6 +52,15 @@ def spans(text: str, pattern: str, group: int, least: int, kind: int) -> Column:
     return F.when(F.col(text).rlike(pattern), listed).otherwise(F.expr(f"cast(array() as {_SPAN})"))
 
 
+def body_of(s: str) -> Column:
+    """The body of a key block, without line ends; the value of other spans."""
+    return F.when(F.col(f"{s}.kind") == list(PATTERNS).index("pem"), F.regexp_replace(f"{s}.value", _AROUND, "")).otherwise(F.col(f"{s}.value"))
+
+
+def hash_of(s: str) -> Column:
+    return F.sha2(body_of(s).cast("binary"), 256)
+
+
 def candidates(docs: DataFrame, keep: list[str] | None = None, text: str = "text", repository: str = "doc_id", owner: str = "source") -> DataFrame:
     """(rid, row, repo, owner, spans: those of the patterns, bare: words that may be values) of each document, written."""
     rows = docs.select(F.struct(*(keep or docs.columns)).alias("row"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repo"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
@@ -60,21 +72,22 @@ def candidates(docs: DataFrame, keep: list[str] | None = None, text: str = "text
 
 def ownership(rows: DataFrame) -> DataFrame:
     """(hash, repositories, owners): how many distinct ones have each value of a pattern's span."""
-    values = rows.select("repo", "owner", F.explode("spans").alias("s")).select(F.sha2(F.col("s.value").cast("binary"), 256).alias("hash"), "repo", "owner")
+    values = rows.select("repo", "owner", F.explode("spans").alias("s")).select(hash_of("s").alias("hash"), "repo", "owner")
     return values.groupBy("hash", "repo", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count_distinct("repo").alias("repositories"), F.count_distinct("owner").alias("owners"))
 
 
 def scanned(docs: DataFrame, keep: list[str] | None = None, widely: int = 10, text: str = "text", repository: str = "doc_id", owner: str = "source") -> DataFrame:
     """(row, spans: array of (start, kind, end, value, owners, live)) of each document, base and added spans in order.
 
-    Live: fewer than `widely` owners have the value, and it has a digit and at least 6 different characters, or is a key's head line.
+    Live: fewer than `widely` owners have the value, and it has a digit and at least 6 different characters, or is a key block with a body.
+    Ownership of a key block is that of its body.
     """
     rows = candidates(docs, keep, text, repository, owner)
     known = Written(ownership(rows)).df
     known = small(known, known.count(), 160)
     some = rows.where("size(spans) > 0 or size(bare) > 0")
-    each = some.select("rid", F.explode(F.concat("spans", "bare")).alias("s")).withColumn("hash", F.sha2(F.col("s.value").cast("binary"), 256)).join(known, "hash")
-    random = (F.col("s.value").rlike("[0-9]") & (F.size(F.array_distinct(F.split("s.value", ""))) >= 7)) | (F.col("s.kind") == list(PATTERNS).index("pem"))
+    each = some.select("rid", F.explode(F.concat("spans", "bare")).alias("s")).withColumn("hash", hash_of("s")).join(known, "hash")
+    random = (F.col("s.value").rlike("[0-9]") & (F.size(F.array_distinct(F.split("s.value", ""))) >= 7)) | ((F.col("s.kind") == list(PATTERNS).index("pem")) & body_of("s").rlike("[A-Za-z0-9+/]{16,}"))
     told = each.select("rid", F.struct("s.start", "s.kind", "s.end", "s.value", "owners", ((F.col("owners") < widely) & random).alias("live")).alias("s"))
     # a bare word inside a pattern's span is that span's
     listed = told.groupBy("rid").agg(F.array_sort(F.collect_list("s")).alias("all"))
