@@ -138,6 +138,23 @@ def test_template_tree(spark):
     assert {r.template for r in url_filter.verdicts(df, rules=alike).collect()} == {"/*/*"}
 
 
+def test_small_sections_keep_their_own_labels(spark):
+    small = [f"http://h.org/es/{i}" for i in range(4)] + [f"http://h.org/{x}/{i}" for x in ("fr", "de") for i in range(4)]
+    hot = [f"http://hot.org/es/{i}" for i in range(20)] + [f"http://hot.org/s{j}/{i}" for j in range(60) for i in range(20)]
+    deep = [f"http://deep.net/a/b/c/d/e/f/g/{x}/{i}" for x in ("bad", "good") for i in range(30)]
+    mixed = [f"http://m.org/{x}/{i}" for x in ("b1", "b2", "a1", "a2", "c") for i in range(6)]
+    rules = (("block", "h.org/es/"), ("block", "hot.org/es/"), ("block", "deep.net/a/b/c/d/e/f/g/bad/"), ("block", "m.org/b"), ("allow", "m.org/a"))
+    df = spark.createDataFrame(list(enumerate(small + hot + deep + mixed)), "page_id long, url string")
+    got = url_filter.verdicts(df, rules=rules).collect()
+    bad = lambda p: p.startswith(("/es/", "/a/b/c/d/e/f/g/bad/", "/b1/", "/b2/"))
+    assert {r.page_id for r in got if (r.verdict == "block") != bad(r.path)} == set()
+    assert {r.template for r in got if r.host == "h.org"} == {"/es/*", "/~/*"}
+    # half of a section's pages labelled: they still judge the other half
+    half = spark.createDataFrame([(i, f"http://k.org/es/{'x' if i % 2 else 'y'}{i}") for i in range(40)] + [(100 + i, f"http://k.org/fr/{i}") for i in range(3)], "page_id long, url string")
+    judged = {r.page_id: r.verdict for r in url_filter.verdicts(half, rules=(("block", "k.org/es/x"),)).collect()}
+    assert all(v == ("block" if k < 100 else "allow") for k, v in judged.items())
+
+
 def test_contamination(docs, rows, spark):
     words = rows[0][1].split()
     items = [(1, " ".join(words[10:40])), (2, rows[30][1]), (3, "one"), (4, None), (5, ""), (6, "unseen words that nobody has " * 3), (None, " ".join(words[50:63])), (7, "Ab cd"), (7, " ".join(words[20:33])), (10, " ".join(words[100:105]))]

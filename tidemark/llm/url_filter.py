@@ -1,11 +1,13 @@
 """URL verdicts by a tree of path templates for each host.
 
 URLs that a rule fits take its verdict; they are the labels. Level by level, the segments of a host's paths become
-branches: a segment stays by name if enough URLs of its parent share it, the others are variable and fall together in
-a wildcard; of those that stay, a branch whose labels differ from those of its siblings by less than chance (a
-two-sample z-test) is merged into the wildcard too. A template's purity is the share of blocked labels, smoothed
+branches. A section (a segment that paths go on below) stays by name, however few URLs it has, if only it has labels or
+if its labels differ from its siblings' by more than chance (a two-sample z-test); a path's last segment does if it is
+frequent too. The others fall together in a wildcard *. Sections without labels whose siblings have some fall in a
+wildcard of their own, ~, so that the siblings' labels don't judge them. A template's purity is the share of blocked labels, smoothed
 towards the corpus' share with the weight of `prior` labels; at `reject` or more the template's other URLs are blocked.
-All of it runs in Spark's own operators, with one aggregation for each level.
+All of it runs in Spark's own operators, with one aggregation for each level; there are as many levels
+as tell labelled URLs from others.
 
 A null URL or one without :// has an empty host and path and is judged as such. Equal URLs get equal verdicts; a null
 id stays null; an empty table gives an empty result. Only the two named columns are read.
@@ -42,28 +44,42 @@ def rule_of(host: Column, path: Column, rules) -> Column:
     return found
 
 
-def templates(urls: DataFrame, levels: int = 6, least: int = 8, share: float = 0.05, z: float = 2.0) -> DataFrame:
-    """urls (host, path, label) with `template`: the path with variable and merged segments as *, deeper ones as one **."""
-    now = urls.withColumn("_seg", F.split("path", "/")).withColumn("template", F.lit(""))
-    for level in range(1, levels + 1):
+def templates(urls: DataFrame, levels: int = 6, least: int = 8, z: float = 2.0) -> DataFrame:
+    """urls (host, path, label) with `template`: the path with variable and merged segments as * or ~, deeper ones as one **.
+
+    At least `levels` levels are told apart, and more as long as a template has both labelled and other URLs below it.
+    """
+    now = urls.withColumn("_seg", F.split("path", "/")).withColumn("_last", F.size(F.split(F.rtrim("path", F.lit("/")), "/")) - 1).withColumn("template", F.lit(""))
+    level = 0
+    while level < levels or open_below(now, level):
+        level += 1
         now = now.withColumn("_s", F.expr(f"get(_seg, {level})"))
-        counts = now.where("_s is not null").groupBy("host", "template", "_s").agg(F.count("*").alias("n"), F.count("label").alias("m"), F.coalesce(F.sum("label"), F.lit(0)).alias("k"))
-        total = counts.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("m").alias("all_m"), F.sum("k").alias("all_k"))
+        counts = now.where("_s is not null").groupBy("host", "template", "_s").agg(F.count("*").alias("n"), F.count("label").alias("m"), F.coalesce(F.sum("label"), F.lit(0)).alias("k"), F.bool_or(F.col("_last") > level).alias("section"))
+        total = counts.groupBy("host", "template").agg(F.sum("m").alias("all_m"), F.sum("k").alias("all_k"))
         pair = counts.withColumnsRenamed({"host": "h", "template": "t"}).join(total.withColumnsRenamed({"host": "h2", "template": "t2"}), (F.col("h") == F.col("h2")) & (F.col("t") == F.col("t2")))
-        often = (F.col("n") >= least) & (F.col("n") >= share * F.col("all_n"))
         # this branch against its siblings together: equal up to chance, or nothing to tell by
         pooled = F.col("all_k") / F.greatest("all_m", F.lit(1))
         rest = F.col("all_m") - F.col("m")
         gap = F.abs(F.col("k") / F.greatest("m", F.lit(1)) - (F.col("all_k") - F.col("k")) / F.greatest(rest, F.lit(1)))
         chance = z * F.sqrt(pooled * (1 - pooled) * (1 / F.greatest("m", F.lit(1)) + 1 / F.greatest(rest, F.lit(1))))
         labelled = (F.col("m") > 0) != (rest > 0)
-        stays = often & (labelled | (F.col("m") > 0) & (gap > chance))
-        kept = pair.where(stays).select("h", "t", F.col("_s").alias("s"))
+        often = F.col("n") >= least
+        # one label is too little to differ by: such branches would leave the wildcard with the labels of the majority only
+        differs = (F.col("m") > 0) & (rest > 0) & (gap > chance) & (often | F.col("section") & (F.col("m") > 1))
+        stays = differs | labelled & (often | F.col("section") & (F.col("m") > 0))
+        apart = labelled & F.col("section") & (F.col("m") == 0)
+        kept = pair.where(stays | apart).select("h", "t", F.col("_s").alias("s"), F.when(stays, F.col("_s")).otherwise(F.lit("~")).alias("as"))
         now = now.join(kept, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & (F.col("_s") == F.col("s")), "left")
-        now = now.withColumn("template", F.when(F.col("_s").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("s", F.lit("*"))))).drop("h", "t", "s", "_s")
+        now = now.withColumn("template", F.when(F.col("_s").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("as", F.lit("*"))))).drop("h", "t", "s", "as", "_s")
         now = Written(now).df
-    deeper = F.size("_seg") > levels + 1
-    return now.withColumn("template", F.when(deeper, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("_seg")
+    deeper = F.size("_seg") > level + 1
+    return now.withColumn("template", F.when(deeper, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("_seg", "_last")
+
+
+def open_below(now: DataFrame, level: int) -> bool:
+    """Whether a template has both labelled and other URLs, and some of them go on below the level."""
+    groups = now.groupBy("host", "template").agg(F.count("*").alias("n"), F.count("label").alias("m"), F.max(F.size("_seg")).alias("size"))
+    return not groups.where((F.col("size") > level + 1) & (F.col("m") > 0) & (F.col("m") < F.col("n"))).isEmpty()
 
 
 def verdicts(pages: DataFrame, rules=RULES, prior: float = 4.0, reject: float = 0.8, id_column: str = "page_id", url: str = "url", **tree) -> DataFrame:
