@@ -2,7 +2,8 @@
 
 Patterns give candidate spans; a bare word is a candidate too if the corpus has it as the value of a pattern
 elsewhere. The values' hashes are aggregated over the corpus by distinct repositories and distinct owners: a value
-that many owners have is an example that was copied around, one that few have and that looks random is live. All of
+that many owners or very many repositories have is an example that was copied around, one that few have and that looks
+random is live. All of
 it runs in Spark's own operators; only rows with candidates are shuffled, by value and then by row.
 
 Places are code points, the end exclusive. A null or empty text has no spans. Null repositories and owners count as
@@ -76,19 +77,22 @@ def ownership(rows: DataFrame) -> DataFrame:
     return values.groupBy("hash", "repo", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count_distinct("repo").alias("repositories"), F.count_distinct("owner").alias("owners"))
 
 
-def scanned(docs: DataFrame, keep: list[str] | None = None, widely: int = 10, text: str = "text", repository: str = "doc_id", owner: str = "source") -> DataFrame:
+def scanned(docs: DataFrame, keep: list[str] | None = None, widely: int = 10, copies: int = 1000, text: str = "text", repository: str = "doc_id", owner: str = "source") -> DataFrame:
     """(row, spans: array of (start, kind, end, value, owners, live)) of each document, base and added spans in order.
 
-    Live: fewer than `widely` owners have the value, and it has a digit and at least 6 different characters, or is a key block with a body.
+    Copied: `widely` owners have the value, or half of the corpus' owners where that is less (three at least), or `copies`
+    repositories, whoever owns them. Live: it isn't copied, and it has a digit and at least 6 different characters, or is a key block with a body.
     Ownership of a key block is that of its body.
     """
     rows = candidates(docs, keep, text, repository, owner)
+    bound = min(widely, max(3, (rows.agg(F.count_distinct("owner")).first()[0] + 1) // 2))
     known = Written(ownership(rows)).df
     known = small(known, known.count(), 160)
     some = rows.where("size(spans) > 0 or size(bare) > 0")
     each = some.select("rid", F.explode(F.concat("spans", "bare")).alias("s")).withColumn("hash", hash_of("s")).join(known, "hash")
     random = (F.col("s.value").rlike("[0-9]") & (F.size(F.array_distinct(F.split("s.value", ""))) >= 7)) | ((F.col("s.kind") == list(PATTERNS).index("pem")) & body_of("s").rlike("[A-Za-z0-9+/]{16,}"))
-    told = each.select("rid", F.struct("s.start", "s.kind", "s.end", "s.value", "owners", ((F.col("owners") < widely) & random).alias("live")).alias("s"))
+    copied = (F.col("owners") >= bound) | (F.col("repositories") >= copies)
+    told = each.select("rid", F.struct("s.start", "s.kind", "s.end", "s.value", "owners", (~copied & random).alias("live")).alias("s"))
     # a bare word inside a pattern's span is that span's
     listed = told.groupBy("rid").agg(F.array_sort(F.collect_list("s")).alias("all"))
     bare = len(PATTERNS)
