@@ -90,7 +90,7 @@ def scanned(docs: DataFrame, keep: list[str] | None = None, widely: int = 10, co
     known = small(known, known.count(), 160)
     some = rows.where("size(spans) > 0 or size(bare) > 0")
     each = some.select("rid", F.explode(F.concat("spans", "bare")).alias("s")).withColumn("hash", hash_of("s")).join(known, "hash")
-    random = (F.col("s.value").rlike("[0-9]") & (F.size(F.array_distinct(F.split("s.value", ""))) >= 7)) | ((F.col("s.kind") == list(PATTERNS).index("pem")) & body_of("s").rlike("[A-Za-z0-9+/]{16,}"))
+    random = (F.col("s.value").rlike("[0-9]") & (F.size(F.array_distinct(F.split("s.value", ""))) >= 6)) | ((F.col("s.kind") == list(PATTERNS).index("pem")) & body_of("s").rlike("[A-Za-z0-9+/]{16,}"))
     copied = (F.col("owners") >= bound) | (F.col("repositories") >= copies)
     told = each.select("rid", F.struct("s.start", "s.kind", "s.end", "s.value", "owners", (~copied & random).alias("live")).alias("s"))
     # a bare word inside a pattern's span is that span's
