@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.plans import fixtures as fx
 from tidemark.plans import analysis_queries, matching_queries, relational_queries, source_queries, stream_queries, timeline_queries  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES, Query
 
@@ -14,7 +15,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    """Queries whose SQL keeps to a part of a table are there over whole tables too, as NAME_all and without SQL."""
+    return QUERIES | {f"{name}_all": fx.over_all(QUERIES[name]) for name, sql in ORACLES.items() if any(c in sql for c in fx.CUTS)}
 
 
 def oracle_sql() -> dict[str, str]:
