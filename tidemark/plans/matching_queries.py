@@ -63,7 +63,7 @@ _STEP = f"list_avg(list_transform(list_zip({_MED.format(v='e')}, {_MED.format(v=
 
 @query("p11_banded_dtw", _ZP + f"SELECT row, slot, round({_DTW.format(x='zs', y='ze')} / 64, 6) AS dtw FROM zp WHERE batch < 10")
 def p11(spark, sf_dir):
-    return _pairs(spark, sf_dir).where("batch < 10").withColumn("t", terms_column("e", "s")).select("row", "slot", r6("t.dtw", "dtw"))
+    return fx.cut(_pairs(spark, sf_dir), "batch < 10").withColumn("t", terms_column("e", "s")).select("row", "slot", r6("t.dtw", "dtw"))
 
 
 @query("p12_path_dtw")
@@ -81,7 +81,7 @@ def p13(spark, sf_dir):
 
 @query("p14_waveform_cost", _ZP + f"SELECT row, slot, round({_DTW.format(x='zs', y='ze')} / 64 + 0.40::DOUBLE * {_STEP}, 6) AS cost FROM zp WHERE batch >= 10 AND batch < 20")
 def p14(spark, sf_dir):
-    return _pairs(spark, sf_dir).where("batch >= 10 and batch < 20").select("row", "slot", r6(cost_column("e", "s"), "cost"))
+    return fx.cut(_pairs(spark, sf_dir), "batch >= 10 and batch < 20").select("row", "slot", r6(cost_column("e", "s"), "cost"))
 
 
 @query("p15_coarse_cost", WITH + f"SELECT row, slot, round(0.95::DOUBLE * {_STEP} + 0.05::DOUBLE * abs(list_avg(e) - list_avg(s)), 6) AS cost FROM pr")
