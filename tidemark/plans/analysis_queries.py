@@ -114,7 +114,7 @@ _DIFF = "WITH d AS (SELECT l_suppkey % 10 AS g, l_quantity - 25 AS diff FROM lin
 
 
 def _signed(spark, sf_dir):
-    d = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select((F.col("l_suppkey") % 10).alias("g"), (F.col("l_quantity") - 25).alias("diff"))
+    d = fx.cut(table(spark, sf_dir, "lineitem"), "l_linenumber = 1").select((F.col("l_suppkey") % 10).alias("g"), (F.col("l_quantity") - 25).alias("diff"))
     return analysis.signed_rank(d, ["g"])
 
 

@@ -16,7 +16,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Queries whose SQL keeps to a part of a table are there over whole tables too, as NAME_all and without SQL."""
-    return QUERIES | {f"{name}_all": fx.over_all(QUERIES[name]) for name, sql in ORACLES.items() if any(c in sql for c in fx.CUTS)}
+    return QUERIES | {f"{name}_all": fx.over_all(QUERIES[name]) for name, sql in ORACLES.items() if any(f"WHERE {c}" in sql for c in fx.CUTS)}
 
 
 def oracle_sql() -> dict[str, str]:

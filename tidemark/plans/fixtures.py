@@ -19,7 +19,7 @@ DAYS = RuntimeConfig(window=60, grid=5, tick=5, bound=10, margin=20, bucket=60)
 
 
 #: Parts of the tables that the SQL of some queries keeps to; over_all() lifts them.
-CUTS = ("o_orderkey % 50 = 0", "batch < 10", "batch >= 10 AND batch < 20")
+CUTS = ("o_orderkey % 50 = 0", "batch < 10", "batch >= 10 AND batch < 20", "slot % 5 = 0", "slot % 25 = 0", "l_linenumber = 1")
 _all: ContextVar[bool] = ContextVar("_all", default=False)
 
 

@@ -135,7 +135,7 @@ SELECT slot, t, coalesce(v, 0.0) AS value FROM m WHERE k = 1"""
 
 @query("s12_slot_grid", _GRID)
 def s12(spark, sf_dir):
-    busy = fx.slot_intervals(spark, sf_dir).where("slot % 5 = 0").join(fx.patterns(spark, sf_dir), F.col("slot") == F.col("pattern_idx")).select("slot", "st", "et", F.col("p").alias("wave"))
+    busy = fx.cut(fx.slot_intervals(spark, sf_dir), "slot % 5 = 0").join(fx.patterns(spark, sf_dir), F.col("slot") == F.col("pattern_idx")).select("slot", "st", "et", F.col("p").alias("wave"))
     points = busy.select("slot").distinct().select("slot", F.explode(F.expr("sequence(8000L, 10999L, 25L)")).alias("t"))
     return waves.slot_grid(points, busy, 60)
 
