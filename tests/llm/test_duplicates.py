@@ -80,3 +80,22 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in graph.components(df).df.collect()}
     assert got == {a: top(a) for a in parent if top(a) != a}
+
+
+def test_links_at_the_threshold_are_found(spark):
+    """Pairs at a similarity of 0.80 to 0.82, exactly counted: all are linked."""
+    rng, pairs = random.Random(11), []
+    for k in range(250):
+        base = [f"p{k}w{i}" for i in range(200)]
+        own = list(base)
+        while True:
+            a, b = brute.shingles(" ".join(base), 4), brute.shingles(" ".join(own), 4)
+            both = len(a & b)
+            if 100 * both < 82 * (len(a) + len(b) - both):
+                break
+            own[rng.randrange(200)] = f"p{k}x{rng.random()}"
+        if 100 * both >= 80 * (len(a) + len(b) - both):
+            pairs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(own))]
+    assert len(pairs) > 200
+    got = found(minhash.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string"), 4))
+    assert all(got[k][1] == k - k % 2 for k, _ in pairs)

@@ -10,15 +10,16 @@ missed with probability (1 - 0.8^5)^32 < 3e-6; one that is more alike with less.
 
 Buckets of any size. A bucket's pairs aren't listed. A node's score is the size of all its buckets together: the middle
 of a group of copies has the highest. Every node is compared with the node of the highest score in each of its
-buckets; nodes that are linked share a label. Pairs whose sizes or sketches (four bits of each of the 160 coordinates)
-are too far apart for the threshold, by five standard deviations, aren't verified. Buckets that still hold different
-labels go on: their nodes without the most frequent label are compared, by an inverted index of the full sets, with all
+buckets; nodes that are linked share a label. Pairs whose sizes are too far apart for the threshold aren't verified, nor, in
+buckets of three or more, those whose sketches (four bits of each of the 160 coordinates) are by five standard
+deviations. Buckets of three or more that still hold different labels go on, whatever was left out before: their nodes without the most frequent label are compared, by an inverted index of the full sets, with all
 nodes of other labels. The two sides are cut into blocks of at most BLOCK shingles, about, so any number of tasks
 shares a large bucket, and each node gives one link for each label it meets. No pair whose outcome matters is left out.
 
 Verification. The full sets of both sides are recomputed from the texts and intersected.
 
-Null text, or text without a word: no shingles, linked with nothing. Rows that share an id are one document, linked
+Null text, or text without a word: no shingles, linked with nothing. Very long texts are shingled whole, one at a time.
+Rows that share an id are one document, linked
 with whatever any of them is linked with. A null id is linked with nothing: its component is null and it is kept.
 An empty table gives an empty result. Other columns aren't read.
 """
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .shared import Written, small
+from .shared import Written, slices, small
 
 COORDINATES, BAND_ROWS = 160, 5
 #: Of 160 four-bit coordinates a pair at similarity 0.8 differs in 30, with a deviation of 4.9.
@@ -139,7 +140,7 @@ def digests(docs: DataFrame, size: int, id_column: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             rows = [digest(x, size) or (0, None, None, None) for x in batch.column(1).to_pylist()]
             columns = zip(*rows, strict=True) if rows else [()] * 4
             yield pa.record_batch([batch.column(0), *(pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True))], names=schema.names)
@@ -153,7 +154,7 @@ def sets_of(ids: DataFrame, docs: DataFrame, size: int, id_column: str = "doc_id
     needed = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).join(small(wanted, wanted.count(), 16), F.col("id") == F.col("_id"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             yield pa.record_batch([batch.column(0), pa.array([shingle_set(x, size).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["id", "own"])
 
     return Written(needed.mapInArrow(run, "id long, own binary")).df
@@ -228,14 +229,17 @@ def rest_links(open_: DataFrame, docs: DataFrame, size: int, part: int, whole: i
 
 
 def _close(part: int, whole: int) -> Column:
-    """Of columns n, g0.. and h_n, h_g0..: whether the pair can reach the threshold."""
+    """Of columns m, n, g0.. and h_n, h_g0..: whether the pair can reach the threshold.
+
+    Only the sizes can rule out the pair of a bucket of two, since it is compared once only.
+    """
     near = F.lit(0)
     for g in _SIG:
         x = F.col(g).bitwiseXOR(F.col(f"h_{g}"))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         near = near + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return (F.col("n") * whole >= F.col("h_n") * part) & (F.col("h_n") * whole >= F.col("n") * part) & (near <= MOST_APART)
+    return (F.col("n") * whole >= F.col("h_n") * part) & (F.col("h_n") * whole >= F.col("n") * part) & ((F.col("m") == 2) | (near <= MOST_APART))
 
 
 def _labels(edges: DataFrame) -> Written:
@@ -261,11 +265,18 @@ def links(nodes: DataFrame, docs: DataFrame, size: int, part: int, whole: int, i
     hubs = Written(members.df.groupBy("key").agg(F.max(F.struct("score", F.col("node").alias("hub"))).alias("top")))
     met = members.df.join(hubs.df, "key").withColumn("hub", F.col("top.hub")).where("node <> hub")
     pairs = Written(met.join(of_hub, "hub").where(_close(part, whole)).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct())
+    hubs.drop()
     edges = Written(verified(pairs, docs, size, part, whole, id_column, text)).df
-    marked = members.df.where("m > 2").select("key", "node", "n").join(_labels(edges).df, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    pairs.drop()
+    labels = _labels(edges)
+    marked = members.df.where("m > 2").select("key", "node", "n").join(labels.df, "node", "left").withColumn("label", F.coalesce("label", "node"))
     unlike = marked.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("key")
-    open_ = Written(marked.join(unlike, "key")).df
-    return edges.union(Written(rest_links(open_, docs, size, part, whole, id_column, text)).df)
+    open_ = Written(marked.join(unlike, "key"))
+    members.drop()
+    labels.drop()
+    rest = Written(rest_links(open_.df, docs, size, part, whole, id_column, text))
+    open_.drop()
+    return edges.union(rest.df)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, part: int = 80, whole: int = 100, id_column: str = "doc_id", text: str = "text") -> DataFrame:

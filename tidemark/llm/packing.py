@@ -7,7 +7,7 @@ remaining capacities finds the tightest open class in logarithmic time, and whol
 once. The plan is the one that document-by-document best-fit decreasing makes; its size depends on the sequence
 length, not on the corpus. A join by length and rank then gives each piece its place.
 
-A null text counts as empty: one end token. Equal rows and equal ids are packed one by one; a null id stays null. An
+A null text counts as empty: one end token. A very long text is cut as a whole. Equal rows and equal ids are packed one by one; a null id stays null. An
 empty table gives an empty result.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from . import pretoken
 from .ranks import group_ranks
-from .shared import Written
+from .shared import Written, slices
 
 
 class CapacityTree:
@@ -105,7 +105,7 @@ def token_pieces(docs: DataFrame, path: str, size: int, end_id: int = 0, with_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, tail = pretoken.encoder(path), np.array([end_id], dtype="<u4")
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             of, rows = [], []
             for i, ids in enumerate(enc.ids([x.encode() if x else b"" for x in batch.column(1).to_pylist()])):
                 ids = np.concatenate([ids.astype("<u4"), tail])

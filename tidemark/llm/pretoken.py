@@ -16,7 +16,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 OTHER, LETTER, NUMBER, SPACE, UNKNOWN = 0, 1, 2, 3, 255
 #: Bytes that are cut and looked up at once; longer texts are cut where a space follows a letter or digit.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Longer pre-tokens go to the library and aren't kept.
 LONG = 64
 NEVER = np.int64(1 << 40)

@@ -6,7 +6,7 @@ that many owners or very many repositories have is an example that was copied ar
 random is live. All of
 it runs in Spark's own operators; only rows with candidates are shuffled, by value and then by row.
 
-Places are code points, the end exclusive. A null or empty text has no spans. Null repositories and owners count as
+Places are code points, the end exclusive. A null or empty text has no spans; a very long one is scanned whole. Null repositories and owners count as
 one of their kind each. Rows are told apart by a number given when they are written, so repeated rows and null ids keep
 theirs; an empty table gives an empty result. The input's columns travel in a struct: no names clash.
 """

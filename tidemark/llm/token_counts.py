@@ -5,7 +5,7 @@ is broadcast. They are found by Misra-Gries summaries of all texts, one of at mo
 as a tree; only these bounded summaries move, never the pre-tokens. Second tier: each worker keeps the lengths of what
 the first lacks in a cache. The tiers change the speed only: each pre-token's length is the tokenizer's own.
 
-A null or empty text has 0 tokens. Equal rows and equal ids each keep their row; a null id stays null. Columns of the
+A null or empty text has 0 tokens; a very long one is counted whole. Equal rows and equal ids each keep their row; a null id stays null. Columns of the
 input other than the two named aren't read, so their names can't clash.
 """
 
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pretoken
+from .shared import slices
 
 TIER_ROWS = 1 << 13
 _SUMMARY = T.StructType([T.StructField("part", T.LongType()), T.StructField("token", T.ArrayType(T.BinaryType())), T.StructField("n", T.ArrayType(T.LongType()))])
@@ -40,7 +41,7 @@ def _summaries(path: str, most: int):
         from pyspark import TaskContext
 
         enc, kept, names = pretoken.encoder(path), {}, {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             texts = [x.encode() if x else b"" for x in batch.column(0).to_pylist()]
             for numbers, sizes, raw in enc.chunks(texts):
                 if sizes is None:

@@ -35,7 +35,7 @@ def path_of(url: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules) -> Column:
-    """struct(verdict, rule) of the longest rule that fits, or null; of equally long ones the first by name."""
+    """struct(verdict, rule) of the longest rule that fits, or null; of equally long ones the last by name."""
     found = F.lit(None).cast("struct<verdict:string,rule:string>")
     for verdict, rule in sorted(rules, key=lambda r: (len(r[1]), r[1])):
         at, _, rest = rule.partition("/")
