@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+
 LOWER = {i: i + 32 for i in range(65, 91)}
 
 
@@ -51,8 +53,8 @@ def duplicates(rows, size):
     return {k: (len(s), top(k)) for k, s in sets.items()}
 
 
-def contamination(docs, items, width=13, part=20):
-    """docs (id, text), items (id, text) -> list of (id, n_words, n_hit, n_items, sha, contaminated)"""
+def contamination(docs, items, width=13, part=20, distance=5):
+    """docs (id, text), items (id, text) -> list of (id, n_words, n_hit, n_items, sha, n_near, contaminated)"""
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     windows = defaultdict(set)
     for k, t in items:
@@ -60,6 +62,8 @@ def contamination(docs, items, width=13, part=20):
         for i in range(max(0, len(w) - width) + 1 if w else 0):
             windows[tuple(w[i : i + width])].add("" if k is None else str(k))
     sizes, out = {len(x) for x in windows}, []
+    often = Counter(x for _, t in docs for x in split(t))
+    rare = {x: sorted(range(len(x)), key=lambda i: (often[x[i]], i))[:2] for x in windows if all(often[y] for y in x)}
     for k, t in docs:
         w, hit, found = split(t), set(), set()
         for n in sizes:
@@ -67,7 +71,17 @@ def contamination(docs, items, width=13, part=20):
                 if ids := windows.get(tuple(w[i : i + n])):
                     hit |= set(range(i, i + n))
                     found |= ids
-        out.append((k, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and part * len(hit) >= len(w)))
+        places = defaultdict(list)
+        for i, x in enumerate(w):
+            places[x].append(i)
+        near = 0
+        for x, at in rare.items():
+            starts = [np.array([i - o for i in places.get(x[o], ())]) for o in at]
+            if len(starts) == 1:
+                near += len(starts[0]) > 0
+            elif len(starts[0]) and len(starts[1]):
+                near += any(np.abs(starts[1] - i).min() <= distance for i in starts[0])
+        out.append((k, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), near, bool(hit) and part * len(hit) >= len(w)))
     return out
 
 

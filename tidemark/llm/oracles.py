@@ -9,15 +9,33 @@ def _count(chars: str) -> str:
     return f"(length(t) - length(translate(t, '{chars}', '')))"
 
 
-DECONTAMINATION = f"""WITH it AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_TOKEN}') AS w FROM benchmark),
-win AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i + 1 : i + 13], ' ') AS p FROM (SELECT item_id, w, unnest(range(0, greatest(0, len(w) - 13) + 1)) AS i FROM it WHERE len(w) > 0)),
+DECONTAMINATION = f"""WITH
+it AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_TOKEN}') AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, w[i + 1 : i + 13] AS l, array_to_string(w[i + 1 : i + 13], ' ') AS p
+  FROM (SELECT item_id, w, unnest(range(0, greatest(0, len(w) - 13) + 1)) AS i FROM it WHERE len(w) > 0)),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_TOKEN}') AS w FROM documents),
-spot AS (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS p FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM win))),
+spot AS (
+  SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS p
+  FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM win))),
 hit AS (SELECT DISTINCT doc_id, item_id, i, n FROM spot JOIN win USING (n, p)),
 cov AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM hit) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)"""
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id),
+word AS (SELECT doc_id, unnest(w) AS t, unnest(range(0, len(w))) AS pos FROM d),
+tf AS (SELECT t, count(*) AS c FROM word GROUP BY t),
+wt AS (SELECT p, n, off, t, c FROM (SELECT p, n, unnest(l) AS t, unnest(range(0, n)) AS off FROM (SELECT DISTINCT p, n, l FROM win)) LEFT JOIN tf USING (t)),
+rk AS (SELECT p, n, off, t, row_number() OVER (PARTITION BY p ORDER BY c, off) AS k FROM wt WHERE p NOT IN (SELECT p FROM wt WHERE c IS NULL)),
+po AS (SELECT doc_id, p, n, k, pos - off AS s FROM word JOIN rk USING (t) WHERE k <= 2),
+nr AS (
+  SELECT doc_id, count(*) AS n_near
+  FROM (SELECT doc_id, p FROM po WHERE n = 1
+    UNION SELECT a.doc_id, a.p FROM po a JOIN po b ON a.doc_id = b.doc_id AND a.p = b.p AND a.k = 1 AND b.k = 2 AND b.s BETWEEN a.s - 5 AND a.s + 5)
+  GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_near, 0) AS n_near, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN nr USING (doc_id)"""
 
 QUALITY = f"""WITH a AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l FROM documents),
 b AS (SELECT doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {_count('#*$%&|<>')} AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, {_count('ABCDEFGHIJKLMNOPQRSTUVWXYZ')} AS caps, {_count('!?')} AS marks, w FROM a),
