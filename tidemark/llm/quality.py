@@ -7,8 +7,9 @@ minus `FENCE` times the quartile distance (at least the measure's `least`). Grou
 take the fences of their language, or else those of all documents. Documents that fail the base rules don't enter the
 sketches. All of it runs in Spark's own operators.
 
-A null or empty text has no words: it fails the base rules. A null lang or source is a group of its own. Equal rows
-each keep their row; an empty table gives an empty result. The input's columns travel in a struct: no names clash.
+A null or empty text has no words: it fails the base rules. A null lang or source is a group of its own. Very long
+texts are measured whole and counted exactly. Equal rows each keep their row and values on a fence pass; an empty table
+gives an empty result. The input's columns travel in a struct: no names clash.
 """
 
 from __future__ import annotations
@@ -18,55 +19,73 @@ from pyspark.sql import functions as F
 
 from .shared import Written, small
 
-WORD = r"[^\x20\x09-\x0D]+"
-BLANKS = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BLANK = r"[\x20\x09-\x0D]"
+SYMBOLS = "[#*$%&|<>]"
+CAPITALS = "[A-Z]"
+MARKS = "[!?]"
 FENCE = 3
 #: measure -> (the least quartile distance, whether values below the lower fence are rejected too)
 MEASURES = {"symbols": (20, False), "capitals": (25, False), "marks": (60, False), "dup_lines": (150, False), "repeats": (100, False), "word_length": (60, True)}
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
-
-
 def repeated_words(words: str, n: str) -> list[tuple[str, Column]]:
     """Steps of columns; the last, _repeat, is the number of words inside 3-word windows that are found twice or more.
 
-    Windows are compared by 64-bit hash less the bits that hold the position.
+    Windows are first compared by what is left of a 64-bit hash beside the bits of the position; those that agree are
+    compared by their words, so the count is exact for texts of any length.
     """
-    mask = f"(shiftleft(1L, length(bin({n}))) - 1)"
+    hashes = f"transform(sequence(0L, {n} - 3), i -> (xxhash64({words}[i], {words}[i + 1], {words}[i + 2]) & _high) | i)"
+    # beyond either end get() is null, which a filter takes for false
+    maybe = "filter(_hashes, (x, j) -> (x ^ get(_hashes, j - 1)) & _high = 0 or (x ^ get(_hashes, j + 1)) & _high = 0)"
+    # no word has a blank, so the joined words are equal only if the words are
+    joined = f"transform(transform(_maybe, x -> cast(x & ~_high as int)), p -> named_struct('w', concat_ws(' ', {words}[p], {words}[p + 1], {words}[p + 2]), 'p', p))"
+    same = "sort_array(transform(filter(_windows, (x, j) -> x.w = get(_windows, j - 1).w or x.w = get(_windows, j + 1).w), x -> x.p))"
+    covered = "aggregate(_at, named_struct('last', -3, 'n', 0L), (a, p) -> named_struct('last', p, 'n', a.n + least(3, p - a.last))).n"
     return [
-        ("_hashes", F.expr(f"if({n} < 4, array(), sort_array(transform(sequence(0L, {n} - 3), i -> (xxhash64({words}[i], {words}[i + 1], {words}[i + 2]) & ~{mask}) | i)))")),
-        ("_at", F.expr(f"""if(size(_hashes) = 0, array(), sort_array(filter(transform(sequence(0, size(_hashes) - 1), j ->
-            if((j > 0 and (_hashes[j] ^ _hashes[greatest(j - 1, 0)]) & ~{mask} = 0) or (j + 1 < size(_hashes) and (_hashes[j] ^ _hashes[least(j + 1, size(_hashes) - 1)]) & ~{mask} = 0),
-               _hashes[j] & {mask}, -1L)), p -> p >= 0)))""")),
-        ("_repeat", F.expr("aggregate(_at, named_struct('last', -3L, 'n', 0L), (a, p) -> named_struct('last', p, 'n', a.n + least(3L, p - a.last))).n")),
-    ]
+        ("_high", F.expr(f"~(shiftleft(1L, length(bin({n}))) - 1)")),
+        ("_hashes", F.expr(f"if({n} < 4, array(), sort_array({hashes}))")),
+        ("_maybe", F.expr(maybe)),
+        ("_windows", F.expr(f"array_sort({joined})")),
+        ("_at", F.expr(same)),
+        ("_repeat", F.expr(covered)),
+    ]
 
 
 def measured(docs: DataFrame, keep: list[str] | None = None, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(row: the columns `keep`, all by default; lang, source, the base counts and the measures) of each document."""
     rows = docs.select(F.struct(*(keep or docs.columns)).alias("row"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("_words", F.expr(f"regexp_extract_all(text, r'{WORD}', 0)")).withColumn("_lines", F.expr(r"filter(split(text, r'\n'), x -> x rlike r'[^\x20\x09-\x0D]')"))
+    # a split at runs of blanks has an empty part where the text begins or ends with one
+    rows = rows.withColumn("_words", F.array_remove(F.split("text", f"{BLANK}+"), "")).withColumn("_lines", F.expr(r"filter(split(text, r'\n'), x -> x rlike r'[^\x20\x09-\x0D]')"))
+    of = lambda pattern: F.regexp_count("text", F.lit(pattern)).cast("long")
     rows = rows.select(
-        "row", "lang", "source", "_words", F.size("_words").cast("long").alias("n_words"), (F.length("text") - _without(F.col("text"), BLANKS)).cast("long").alias("word_chars"), _without(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
-        F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), _without(F.col("text"), CAPITALS).cast("long").alias("n_capitals"), _without(F.col("text"), "!?").cast("long").alias("n_marks"),
-    )
+        "row",
+        "lang",
+        "source",
+        "_words",
+        F.size("_words").cast("long").alias("n_words"),
+        (F.length("text") - of(BLANK)).alias("word_chars"),
+        of(SYMBOLS).alias("n_symbols"),
+        F.size("_lines").cast("long").alias("n_lines"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        of(CAPITALS).alias("n_capitals"),
+        of(MARKS).alias("n_marks"),
+    )
+    no_longer = {"_maybe": "_hashes", "_windows": "_words", "_at": "_maybe", "_repeat": "_windows"}
     for name, column in repeated_words("_words", "n_words"):
-        rows = rows.withColumn(name, column)
-        if name == "_hashes":
-            rows = rows.drop("_words")
-        if name == "_at":
-            rows = rows.drop("_hashes")
+        rows = rows.withColumn(name, column).drop(no_longer.get(name, ""))
     n, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     share = lambda a, b: F.floor(F.col(a) * 1000 / b).cast("long")
-    return rows.select(
-        "row", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.col("_repeat").alias("n_repeat_words"),
-        ((F.col("n_words") < 50) | (100 * F.col("_repeat") > 50 * F.col("n_words"))).alias("base_failed"),
-        F.struct(share("n_symbols", chars).alias("symbols"), share("n_capitals", chars).alias("capitals"), share("n_marks", n).alias("marks"), share("n_dup_lines", F.greatest("n_lines", F.lit(1))).alias("dup_lines"), share("_repeat", n).alias("repeats"), F.floor(F.col("word_chars") * 100 / n).cast("long").alias("word_length")).alias("measures"),
-    )
+    measures = F.struct(
+        share("n_symbols", chars).alias("symbols"),
+        share("n_capitals", chars).alias("capitals"),
+        share("n_marks", n).alias("marks"),
+        share("n_dup_lines", F.greatest("n_lines", F.lit(1))).alias("dup_lines"),
+        share("_repeat", n).alias("repeats"),
+        F.floor(F.col("word_chars") * 100 / n).cast("long").alias("word_length"),
+    )
+    failed = (F.col("n_words") < 50) | (100 * F.col("_repeat") > 50 * F.col("n_words"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", F.col("_repeat").alias("n_repeat_words")]
+    return rows.select("row", "lang", "source", *counts, failed.alias("base_failed"), measures.alias("measures"))
 
 
 def sketches(rows: DataFrame) -> DataFrame:
@@ -100,6 +119,7 @@ def thresholds(leaves: DataFrame, min_docs: int) -> DataFrame:
 def judged(docs: DataFrame, keep: list[str] | None = None, min_docs: int = 100, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """measured() with kept: neither the base rules nor a fence of the group reject the document."""
     rows = Written(measured(docs, keep, text, lang, source)).df
+    # six pairs of bounds a group, as many groups as (lang, source) has
     found = Written(thresholds(sketches(rows), min_docs)).df.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     join = small(found, found.count(), 400)
     joined = rows.join(join, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
