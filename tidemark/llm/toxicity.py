@@ -2,13 +2,18 @@
 
 Folding: lower case, homoglyphs and digits become the letters they stand for. Learning, from labelled rows: the share
 of toxic documents among those with a word gives word stems, each the longest that keeps its support, and whole words,
-with their log-odds as weights; words that begin like a stem but stand in clean texts become exceptions, besides the exception
-phrases that are given. Matching: a stem counts at the start of a word and outside exceptions. The weights, and the
-weights for each 100 characters, go through a logistic curve that is fitted on at most `sample` labelled rows. At most
-`LABELLED` labelled documents are learned from, chosen by a hash of their id, so their ids can always be broadcast.
-
-Null and empty texts have no hits and get the score of such texts. Without both labels in the training rows all scores
-are 0.5 times the share of the label present, below 0.5. Only the text is scored, whatever else the rows hold.
+with their log-odds as weights. Words that begin like a stem but stand in clean texts become exceptions, and so do
+phrases of two words that clean texts have around a hit; phrases can be given besides. Matching: a stem counts at the
+start of a word and outside exceptions. The weights, and the weights for each 100 characters, go through a logistic
+curve that is fitted on at most `sample` labelled rows. At most `LABELLED` labelled documents are learned from, chosen by
+a hash of their id, so their ids can always be broadcast. An entry needs the support of `least` documents and of a share
+`SUPPORT` of those with its label: so the lexicon has as many entries as the language has, not as the corpus has rows.
+Stems have 4 to 12 letters; longer words are learned whole.
+
+Null and empty texts have no hits and get the score of such texts; very long texts are matched whole, in one pass.
+Without both labels in the training rows all scores are 0.5 times the share of the label present, below 0.5; so they
+are without any row. A label that is null or no 0 or 1 is no label; an id that is labelled twice counts twice. Repeated
+rows are scored one by one. Only the text is scored, whatever else the rows hold.
 """
 
 from __future__ import annotations
@@ -21,9 +26,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Written
+from .shared import Written, small
 
-SAMPLE, LEXICON, LABELLED = 50_000, 5_000, 1_000_000
+SAMPLE, LABELLED, SUPPORT = 50_000, 1_000_000, 0.0002
 #: Characters that look like Latin letters, then digits and signs that stand for letters.
 LOOKALIKES = "аеорсухіјѕԁԛԝһоαεορυικντ" + "0134578@$"
 LETTERS = "aeopcyxijsdqwhoaeopuikvt" + "oieastbas"
@@ -36,38 +41,64 @@ def folded(text: Column) -> Column:
 def labelled(docs: DataFrame, labels: DataFrame, most: int = LABELLED, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(text, toxic) of the documents that have a label, at most about `most` of them."""
     known = labels.select(F.col(id_column).alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("_id is not null and toxic in (0, 1)")
-    share = min(1.0, most / max(known.count(), 1))
+    n = known.count()
+    share = min(1.0, most / max(n, 1))
     chosen = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return docs.select(F.col(id_column).alias("_doc"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("text", "toxic")
+    own = docs.select(F.col(id_column).alias("_doc"), F.col(text).alias("text"))
+    return own.join(small(chosen, min(n, most + most // 10), 16), F.col("_doc") == F.col("_id")).select("text", "toxic")
+
+
+def words_in(text: Column) -> Column:
+    return F.regexp_extract_all(folded(text), F.lit(r"\p{L}+"), F.lit(0))
+
+
+def _tally(rows: DataFrame, key: str) -> DataFrame:
+    """(key, t, c): how many toxic and clean rows (key, toxic) each key has."""
+    return rows.groupBy(key).agg(F.sum("toxic").cast("long").alias("t"), F.sum(1 - F.col("toxic")).cast("long").alias("c"))
 
 
-def learn_lexicon(rows: DataFrame, most: int = LEXICON, least: int = 5, purity: float = 0.8, shortest: int = 4, longest: int = 12) -> tuple[dict[str, float], list[str]]:
-    """({stem: weight}, exception words) from rows (text, toxic)."""
-    words = rows.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(folded(F.col("text")), F.lit(r"\p{L}+"), F.lit(0)))).alias("word"))
-    counts = Written(words.groupBy("word").agg(F.sum("toxic").cast("long").alias("t"), F.sum(1 - F.col("toxic")).cast("long").alias("c"))).df
+def learn_lexicon(rows: DataFrame, least: int = 5, support: float = SUPPORT, purity: float = 0.8, shortest: int = 4, longest: int = 12) -> tuple[dict[str, float], list[str]]:
+    """({stem: weight}, exception words and phrases) from rows (text, toxic)."""
+    of = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    least_t, least_c = (max(least, math.ceil(support * of.get(k, 0))) for k in (1, 0))
+    counts = Written(_tally(rows.select("toxic", F.explode(F.array_distinct(words_in(F.col("text")))).alias("word")), "word"))
     # beginnings of words, and whole words with a blank behind
-    stems = counts.where(F.length("word") >= shortest).select("t", "c", F.explode(F.expr(f"concat(transform(sequence({shortest}, least(length(word), {longest})), n -> left(word, n)), array(concat(word, ' ')))")).alias("stem"))
-    every = stems.groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    # a bounded number of them, whatever the corpus holds
-    found = every.where((F.col("t") >= least) & (F.col("t") >= purity * (F.col("t") + F.col("c")))).orderBy(F.desc("t"), "stem").limit(most)
+    begins = f"concat(transform(sequence({shortest}, least(length(word), {longest})), n -> left(word, n)), array(concat(word, ' ')))"
+    every = counts.df.where(F.length("word") >= shortest).select("t", "c", F.explode(F.expr(begins)).alias("stem")).groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    found = every.where((F.col("t") >= least_t) & (F.col("t") >= purity * (F.col("t") + F.col("c"))))
     top = {r["stem"]: (r["t"], r["c"]) for r in found.collect()}
     by_start: dict[str, list[str]] = {}
-    for s in top:
+    for s in sorted(top):
         if not s.endswith(" "):
             by_start.setdefault(s[:-1], []).append(s)
     kept: dict[str, float] = {}
     for stem in sorted(top, key=lambda s: (len(s), s)):
-        if any(stem.startswith(k) for k in kept):
+        if any(stem[:k] in kept for k in range(shortest, len(stem) + 1)):
             continue
         while longer := [s for s in by_start.get(stem, []) if top[s][0] >= 0.95 * top[stem][0]]:
             stem = longer[0]
         t, c = top[stem]
         kept[stem] = min(8.0, math.log((t + 0.5) / (c + 0.5)) + 1.0)
-    begins = sorted(k for k in kept if not k.endswith(" "))
-    if not begins:
-        return kept, []
-    near = counts.where(F.regexp_extract("word", "^(" + "|".join(begins) + ")", 1) != "").where((F.col("c") >= least) & (F.col("t") * 2 < F.col("c")))
-    return kept, sorted(r["word"] for r in near.orderBy(F.desc("c"), "word").limit(most).collect())
+    if not kept:
+        counts.drop()
+        return {}, []
+    stems = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in sorted(kept)], "stem string"))
+    starts = F.expr(f"concat(transform(sequence({shortest}, greatest({shortest}, least(length(word), {longest}))), n -> left(word, n)), array(concat(word, ' ')))")
+    hits = Written(counts.df.select("word", "t", "c", F.explode(starts).alias("stem")).join(stems, "stem").select("word", "t", "c").distinct())
+    clean = (F.col("c") >= least_c) & (F.col("t") * 2 < F.col("c"))
+    words = [r["word"] for r in hits.df.where(clean).select("word").collect()]
+    # what stands around a hit, a blank between
+    hit = hits.df.where(~clean).select(F.col("word").alias("hit"))
+    hit = small(hit, *hit.agg(F.count("*"), F.coalesce(F.max(F.octet_length("hit")), F.lit(0)) + 16).first())
+    pairs = "array_distinct(transform(sequence(0, size(w) - 2), i -> named_struct('a', w[i], 'b', w[i + 1])))"
+    around = rows.select("toxic", words_in(F.col("text")).alias("w"), folded(F.col("text")).alias("f")).where("size(w) > 1").select("toxic", "f", F.explode(F.expr(pairs)).alias("p"))
+    joined = around.join(hit, F.col("p.a") == F.col("hit"), "left_semi").union(around.join(hit, F.col("p.b") == F.col("hit"), "left_semi").join(hit, F.col("p.a") == F.col("hit"), "left_anti"))
+    phrase = F.concat("p.a", F.lit(" "), "p.b")
+    phrases = _tally(joined.select("toxic", "f", phrase.alias("phrase")).where(F.instr("f", F.col("phrase")) > 0), "phrase").where(clean)
+    words += [r["phrase"] for r in phrases.select("phrase").collect()]
+    counts.drop()
+    hits.drop()
+    return kept, sorted(words)
 
 
 def features(docs: DataFrame, lexicon: dict[str, float], exceptions: list[str], text: str = "text") -> Column:
@@ -99,7 +130,12 @@ def features(docs: DataFrame, lexicon: dict[str, float], exceptions: list[str],
                         safe.append((at, end))
                     else:
                         hits[at] = max(w, hits.get(at, 0.0))
-                total = sum(w for at, w in hits.items() if not any(a <= at <= b for a, b in safe))
+                total, till, k = 0.0, -1, 0
+                safe.sort()
+                for at in sorted(hits):
+                    while k < len(safe) and safe[k][0] <= at:
+                        till, k = max(till, safe[k][1]), k + 1
+                    total += hits[at] if at > till else 0.0
                 out.append([total, 100 * total / (len(x) + 100)])
             yield pd.Series(out)
 
@@ -121,10 +157,10 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 5
     return w
 
 
-def train(rows: DataFrame, sample: int = SAMPLE, exceptions: tuple[str, ...] = (), most: int = LEXICON) -> tuple[dict[str, float], list[str], np.ndarray]:
+def train(rows: DataFrame, sample: int = SAMPLE, exceptions: tuple[str, ...] = ()) -> tuple[dict[str, float], list[str], np.ndarray]:
     """(lexicon, exceptions, curve) from rows (text, toxic 0/1)."""
     rows = rows.select("text", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
-    lexicon, learned = learn_lexicon(rows, most)
+    lexicon, learned = learn_lexicon(rows)
     excepted = sorted({*learned, *exceptions})
     n = rows.count()
     part = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(min(1.0, sample / max(n, 1)) * (1 << 20)))
