@@ -18,6 +18,12 @@ def test_quality_counts(docs, rows):
     assert got == Counter((k, *brute.quality(t), base_failed(brute.quality(t))) for k, t, *_ in rows)
 
 
+def test_quality_counts_of_very_long_texts(spark):
+    df = spark.range(1).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 8000000), x -> hex(x)), ' ') AS text", "'en' AS lang", "'s' AS source")
+    (r,) = quality.measured(df, ["doc_id"]).select("n_words", "n_repeat_words").collect()
+    assert tuple(r) == (8_000_000, 0)
+
+
 def measures(text):
     q = brute.quality(text)
     n, chars, lines = max(1, q[0]), max(1, q[1]), max(1, sum(1 for x in (text or "").split("\n") if brute.words(x)))
@@ -169,6 +175,124 @@ def test_small_sections_keep_their_own_labels(spark):
     assert all(v == ("block" if k < 100 else "allow") for k, v in judged.items())
 
 
+def plain_templates(urls, levels=6, least=8, z=2.0):
+    """urls (host, path, label or None) -> {(host, path): template}, level by level with dictionaries."""
+    segments = lambda p: p.split("/")
+    last = lambda p: len(p.rstrip("/").split("/")) - 1
+    now, level = ["" for _ in urls], 0
+
+    def is_open():
+        groups = {}
+        for (h, p, y), t in zip(urls, now, strict=True):
+            g = groups.setdefault((h, t), [0, 0, 0])
+            g[0] += 1
+            g[1] += y is not None
+            g[2] = max(g[2], len(segments(p)))
+        return any(size > level + 1 and 0 < m < n for n, m, size in groups.values())
+
+    while level < levels or is_open():
+        level += 1
+        seen = {}
+        for (h, p, y), t in zip(urls, now, strict=True):
+            if len(segments(p)) > level:
+                g = seen.setdefault((h, t), {}).setdefault(segments(p)[level], [0, 0, 0, False])
+                g[0] += 1
+                g[1] += y is not None
+                g[2] += y or 0
+                g[3] |= last(p) > level
+        name = {}
+        for node, branches in seen.items():
+            m_all, k_all = sum(g[1] for g in branches.values()), sum(g[2] for g in branches.values())
+            for s, (n, m, k, section) in branches.items():
+                rest, pool = m_all - m, k_all / max(m_all, 1)
+                often = n >= least
+                if m and rest:
+                    chance = z * (pool * (1 - pool) * (1 / m + 1 / rest)) ** 0.5
+                    stays = abs(k / m - (k_all - k) / rest) > chance and (often or section and m > 1)
+                else:
+                    stays = bool(m or rest) and (often or section and m > 0)
+                apart = bool(rest) and not m and section
+                name[*node, s] = s if stays else "~" if apart else "*"
+        now = [t + "/" + name[h, t, segments(p)[level]] if len(segments(p)) > level else t for (h, p, _), t in zip(urls, now, strict=True)]
+    return {(h, p): t + "/**" * (len(segments(p)) > level + 1) for (h, p, _), t in zip(urls, now, strict=True)}
+
+
+def test_templates_and_verdicts_against_dictionaries(spark):
+    import random
+
+    rng = random.Random(12)
+    word = lambda: rng.choice(["a", "b", "news", "spam", "x1", "x2", "x3", "long" * 3_000])
+    urls = ["http://" + rng.choice(["one.com", "two.net", "three.org"]) + "".join("/" + word() for _ in range(rng.choice([0, 1, 2, 3, 4, 12]))) + rng.choice(["", "/", "//"]) for _ in range(900)]
+    rules = (("block", "one.com/spam/"), ("allow", "one.com/news/a"), ("block", "two.net/x1"), ("allow", "two.net/b/a/"), ("block", "org/a/b"))
+    got = url_filter.verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()
+    label = {"block": 1, "allow": 0, None: None}
+    rows = {}
+    for i, u in enumerate(urls):
+        host, path, *_ = brute.url(u)
+        fits = [(len(r), r, v) for v, r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        rows[i] = (host, path, label[max(fits)[2] if fits else None])
+    of = plain_templates(list(rows.values()))
+    known = [y for _, _, y in rows.values() if y is not None]
+    base, tally = sum(known) / max(len(known), 1), {}
+    for h, p, y in rows.values():
+        if y is not None:
+            g = tally.setdefault((h, of[h, p]), [0, 0])
+            g[0] += 1
+            g[1] += y
+    assert len(got) == 900 and known
+    for r in got:
+        h, p, y = rows[r.page_id]
+        m, k = tally.get((h, of[h, p]), (0, 0))
+        assert r.template == of[h, p]
+        blocked = y == 1 if y is not None else m > 0 and (k + 4 * base) / (m + 4) >= 0.8
+        assert r.verdict == ("block" if blocked else "allow")
+
+
+def plain_live(rows, widely=10, copies=1000):
+    """(doc, start, end, kind, owners, live) of all spans, added ones included, by dictionaries. rows (doc, text, source)."""
+    import re
+
+    kinds = list(secret_scan.PATTERNS)
+    spans, have = [], {}
+    body = lambda kind, v: re.sub(r"-----(?:BEGIN|END) [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|\\\\[nrt]|\s", "", v) if kinds[kind] == "pem" else v
+    for i, (_, text, _) in enumerate(rows):
+        for k, (p, g, least) in enumerate(secret_scan.PATTERNS.values()):
+            for m in re.finditer(p.replace(r"\z", r"\Z"), text or "", re.ASCII):
+                if len(m[g]) >= least:
+                    spans.append((i, m.start(), m.end(), k, body(k, m[g])))
+    for i, *_, v in spans:
+        repos, owners = have.setdefault(v, (set(), set()))
+        repos.add(rows[i][0])
+        owners.add(rows[i][2] or "")
+    for i, (_, text, _) in enumerate(rows):
+        for m in re.finditer(secret_scan.BARE, text or ""):
+            v, inside = m[0], any(j == i and a <= m.start() and b >= m.end() for j, a, b, *_ in spans if j == i)
+            if v in have and not inside and re.search("[0-9]", v) and re.search("[A-Za-z]", v):
+                spans.append((i, m.start(), m.end(), len(kinds), v))
+    bound = min(widely, max(3, (len({r[2] or "" for r in rows}) + 1) // 2))
+    out = []
+    for i, a, b, k, v in spans:
+        repos, owners = have[v]
+        random = bool(re.search("[0-9]", v)) and len(set(v)) >= 6 or k < len(kinds) and kinds[k] == "pem" and bool(re.search("[A-Za-z0-9+/]{16,}", v))
+        out.append((rows[i][0], a, b, k, len(owners), random and len(owners) < bound and len(repos) < copies))
+    return Counter(out)
+
+
+def test_ownership_against_dictionaries(spark):
+    import random
+
+    rng = random.Random(13)
+    values = ["".join(rng.choices("abcdef0123456789", k=28)) for _ in range(12)] + ["AKIA" + "".join(rng.choices("ABCDEF0123", k=16)) for _ in range(12)] + ["hunter22", "ghp_" + "a1B2" * 6, "password"]
+    forms = ["x {} y", "password = '{}' z", "token:{}", "{} {}", "secret={}; {}", "none"]
+    rows = []
+    for i in range(300):
+        v = values[min(int(rng.expovariate(0.15)), len(values) - 1)]
+        rows.append((i, rng.choice(forms).replace("{}", v) if i % 50 else None, f"s{rng.randrange(14)}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((r.row.doc_id, s.start, s.end, s.kind, s.owners, s.live) for r in secret_scan.scanned(df, copies=40).collect() for s in r.spans)
+    assert got == plain_live(rows, copies=40)
+
+
 def test_contamination(docs, rows, spark):
     words = rows[0][1].split()
     items = [(1, " ".join(words[10:40])), (2, rows[30][1]), (3, "one"), (4, None), (5, ""), (6, "unseen words that nobody has " * 3), (None, " ".join(words[50:63])), (7, "Ab cd"), (7, " ".join(words[20:33])), (10, " ".join(words[100:105]))]
@@ -187,11 +311,17 @@ def test_contamination_of_nothing(docs, none, spark):
 
 def test_proximity(spark):
     text = " ".join(f"w{i}" for i in range(40))
-    docs = spark.createDataFrame([(1, text), (2, text.replace("w20", "new w20")), (3, "w1 " + "x " * 200 + "w30")], "doc_id long, text string")
-    windows, _ = decontam.phrases(spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(14, 27)))], "item_id long, text string"), 13)
-    index = decontam.Index(docs, windows)
-    assert {r.doc_id for r in index.near(5).select("doc_id").distinct().collect()} == {1, 2}
-    assert {r.doc_id for r in index.matches().where("size(hits) > 0").collect()} == {1}
+    docs = spark.createDataFrame([(1, text), (2, text.replace("w20", "new w20")), (3, "w1 " + "x " * 200 + "w30"), (4, "w14 " + "x " * 300 + "w15")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(14, 27)))], "item_id long, text string")
+    got = {r.doc_id: r for r in decontam.contamination(docs, items).collect()}
+    assert {k for k, r in got.items() if r.n_near} == {1, 2} and {k for k, r in got.items() if r.n_hit} == {1}
+
+
+def test_one_term_many_times_stays_linear(spark):
+    docs = spark.createDataFrame([(1, "a b " * 40_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b " * 6 + "a"), (2, "a a")], "item_id long, text string")
+    (r,) = decontam.contamination(docs, items).collect()
+    assert (r.n_words, r.n_hit, r.n_items, r.n_near) == (80_000, 79_999, 1, 2)
 
 
 def test_resharding(docs, rows):
@@ -206,15 +336,48 @@ def test_resharding(docs, rows):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(count[s]))
 
 
+def fewest_bytes(rows, shards):
+    """rows (old shard, size): the fewest bytes that move, over all choices of the shards that take one row more."""
+    from itertools import combinations
+
+    even, more = divmod(len(rows), shards)
+    best = None
+    for large in combinations(range(shards), more):
+        moved = sum(x for s, x in rows if s is None or s >= shards)
+        for s in range(shards):
+            own = sorted((x for t, x in rows if t == s), reverse=True)
+            moved += sum(own[even + (s in large) :])
+        best = moved if best is None else min(best, moved)
+    return best
+
+
 def test_fewest_bytes_move():
-    from itertools import product
-
-    blocks = [(0, 1, 3, 3), (0, 9, 2, 40), (1, 5, 1, 10), (5, 2, 2, 4)]
-    plan = resharding.transfers(blocks, 2)
-    moved = sum((hi - lo) * -(-blocks[b][3] // blocks[b][2]) for b, lo, hi, s, _ in plan if s != blocks[b][0])
-    rows = [(b, -(-size // n)) for b, (_, _, n, size) in enumerate(blocks) for _ in range(n)]
-    best = min(sum(c for (b, c), s in zip(rows, to, strict=True) if s != blocks[b][0]) for to in product(range(2), repeat=len(rows)) if sum(to) == len(rows) // 2)
-    assert moved == best
+    assert all(s == b for b, _, _, s, _ in resharding.transfers([(0, 0, 1, 10), (1, 0, 2, 20)], 2))
+    plan = resharding.transfers(resharding.split_blocks([(0, 0, 40, 3_000)], [(0, 20, 75)]), 2)
+    assert sorted((lo, hi, s) for _, lo, hi, s, _ in plan if s != 0)[0][0] == 20 and sum(hi - lo for _, lo, hi, s, _ in plan if s == 1) == 20
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_fewest_bytes_move_by_rows(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    shards, n = rng.choice([2, 3, 5]), rng.randint(20, 90)
+    rows = [(i, "x" * (rng.choice([0, 3, 40]) if rng.random() < 0.5 else rng.randint(0, 400)), rng.choice([0, 0, 0, 1, 2, 6, None])) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, was int")
+    got = resharding.reshard(df, F.col("was"), shards).collect()
+    assert len(got) == n and {(r.doc_id, r.size, r.old_shard) for r in got} == {(i, len(t) + 1, s) for i, t, s in rows}
+    count = Counter(r.shard for r in got)
+    assert max(count[s] for s in range(shards)) - min(count[s] for s in range(shards)) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(count[s])) for s in count)
+    assert sum(r.size for r in got if r.shard != r.old_shard) == fewest_bytes([(s, len(t) + 1) for _, t, s in rows], shards)
+
+
+def test_ranks_of_a_hot_size(spark):
+    rows = [(i if i % 7 else None, "same text" if i % 3 else f"text {i:04}", 0) for i in range(900)]
+    written = resharding.Written(spark.createDataFrame(rows, "doc_id long, text string, old_shard int").select("doc_id", "old_shard", F.length("text").cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))).df
+    got, histogram = resharding.ranked(written, salt_rows=50)
+    assert sorted(r._rank for r in got.collect()) == list(range(900)) and histogram.count() == 1
 
 
 def test_rewrite_touches_changed_shards_only(spark, tmp_path):
