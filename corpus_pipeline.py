@@ -9,8 +9,10 @@ Each stage takes (spark, docs, sf_dir). All but the last return the columns of d
 4. secret scans: the values of live-looking secrets are replaced by a mark, n_chars follows; all documents stay.
 5. best-fit packing: the pieces of all documents with their sequence and offset.
 
-A null text counts as empty: the quality rules reject it. Columns besides those of documents are carried along by the
-stages and never read.
+A null text counts as empty: the quality rules reject it. Very long texts go through whole. Of documents that tie, one
+stays: the smallest id, then the smallest hash of the text. An empty table gives an empty result. Columns besides those
+of documents are carried along by the stages and never read. What a stage wrote on its way is deleted when its output
+stands, the output when the next one's does.
 """
 
 from __future__ import annotations
@@ -76,6 +78,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = entry.read(spark, sf_dir, "documents")
+    before, last = list(Written.kept), None
     for _, stage in STAGES[:-1]:
-        docs = Written(stage(spark, docs, sf_dir)).df
+        last = Written(stage(spark, docs, sf_dir))
+        Written.drop_all(before, last)
+        docs = last.df
     return STAGES[-1][1](spark, docs, sf_dir)
