@@ -90,11 +90,14 @@ def learn_lexicon(rows: DataFrame, least: int = 5, support: float = SUPPORT, pur
     # what stands around a hit, a blank between
     hit = hits.df.where(~clean).select(F.col("word").alias("hit"))
     hit = small(hit, *hit.agg(F.count("*"), F.coalesce(F.max(F.octet_length("hit")), F.lit(0)) + 16).first())
-    pairs = "array_distinct(transform(sequence(0, size(w) - 2), i -> named_struct('a', w[i], 'b', w[i + 1])))"
-    around = rows.select("toxic", words_in(F.col("text")).alias("w"), folded(F.col("text")).alias("f")).where("size(w) > 1").select("toxic", "f", F.explode(F.expr(pairs)).alias("p"))
-    joined = around.join(hit, F.col("p.a") == F.col("hit"), "left_semi").union(around.join(hit, F.col("p.b") == F.col("hit"), "left_semi").join(hit, F.col("p.a") == F.col("hit"), "left_anti"))
-    phrase = F.concat("p.a", F.lit(" "), "p.b")
-    phrases = _tally(joined.select("toxic", "f", phrase.alias("phrase")).where(F.instr("f", F.col("phrase")) > 0), "phrase").where(clean)
+    beside = F.lit(r"(?<!\p{L})(\p{L}++)(?= (\p{L}+))")
+    f = folded(F.col("text"))
+    pairs = F.arrays_zip(F.regexp_extract_all(f, beside, F.lit(1)).alias("a"), F.regexp_extract_all(f, beside, F.lit(2)).alias("b"))
+    # as strings: the distinct ones of structs would be found by comparing all with all
+    phrase = F.explode(F.array_distinct(F.transform(pairs, lambda p: F.concat_ws(" ", p["a"], p["b"])))).alias("phrase")
+    around = rows.select("toxic", phrase).withColumn("a", F.substring_index("phrase", " ", 1)).withColumn("b", F.substring_index("phrase", " ", -1))
+    first, second = around.join(hit, F.col("a") == F.col("hit"), "left_semi"), around.join(hit, F.col("b") == F.col("hit"), "left_semi").join(hit, F.col("a") == F.col("hit"), "left_anti")
+    phrases = _tally(first.union(second).select("toxic", "phrase"), "phrase").where(clean)
     words += [r["phrase"] for r in phrases.select("phrase").collect()]
     counts.drop()
     hits.drop()
