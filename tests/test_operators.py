@@ -145,12 +145,25 @@ def test_segments_past_the_end_and_shared_points():
     assert kernels.correlations(np.ones((1, 5)), np.arange(5.0)[None]).tolist() == [0.0]
 
 
-def test_two_prefix_cost():
-    # 0.6 of ten points are six: equal; all ten: the last four differ by four
-    e = np.array([[1.0] * 6 + [5.0] * 4])
-    s = np.array([[1.0] * 6 + [9.0] * 4])
-    assert np.abs(e[:, :6] - s[:, :6]).mean() == 0 and np.abs(e - s).mean() == 1.6
-    assert (np.abs(e[:, :6] - s[:, :6]).mean() + np.abs(e - s).mean()) / 2 == 0.8
+def test_two_prefix_cost(spark):
+    from tidemark.config import MATCHERS
+    from tidemark.operators.matchers import costed, tie_break
+
+    rng = np.random.default_rng(3)
+    rows = [(0, r, 10 + c, r, c, rng.uniform(0, 30, 20).tolist(), rng.uniform(0, 30, 20).tolist(), 0.0) for r in range(4) for c in range(3)]
+    pairs = spark.createDataFrame(rows, "batch long, row long, slot long, ri int, cj int, e array<double>, s array<double>, delta double")
+    cost = lambda df, name: {(r.row, r.slot): r.x for r in costed(df, MATCHERS[name]).select("row", "slot", (F.col("cost") - tie_break()).alias("x")).collect()}
+    both, whole = cost(pairs, "two_prefix_greedy"), cost(pairs, "single_only")
+    first = cost(pairs.withColumn("e", F.slice("e", 1, 12)).withColumn("s", F.slice("s", 1, 12)), "single_only")
+    assert all(np.isclose(both[k], (first[k] + whole[k]) / 2) for k in both) and len(both) == 12
+
+
+def test_rows_without_an_allowed_slot(spark):
+    edges = spark.createDataFrame([(1, 0, 5, 1.0), (1, 1, 5, None), (1, 1, 6, None)], "batch long, row long, slot long, cost double")
+    got = {r.row: (r.slot, r.cost, r.fallback) for r in assign.assigned(edges, "greedy").collect()}
+    assert got == {0: (5, 1.0, False), 1: (None, None, True)}
+    got = {r.row: (r.slot, r.cost, r.fallback) for r in assign.assigned(edges, "greedy", last_resort=True).collect()}
+    assert got == {0: (5, 1.0, False), 1: (5, 1e9, True)}
 
 
 @settings(max_examples=60, deadline=None)
@@ -177,7 +190,8 @@ def test_conflict_goes_to_the_row_that_loses_more():
 def test_forbidden_pairs_fall_back(spark):
     df = spark.createDataFrame([(1, 0, 10, 1.0), (1, 1, 10, 2.0), (1, 1, 11, None), (2, 5, 10, None)], "batch int, row int, slot int, cost double")
     got = {r.row: (r.slot, r.cost, r.fallback) for r in assign.assigned(df, "optimal").collect()}
-    assert got == {0: (10, 1.0, False), 1: (10, 2.0, True), 5: (10, 1e9, True)}
+    # a row without an allowed slot stays unmatched
+    assert got == {0: (10, 1.0, False), 1: (10, 2.0, True), 5: (None, None, True)}
 
 
 def plain_posterior(delta, c1, c2, cfg):

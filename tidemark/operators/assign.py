@@ -82,10 +82,11 @@ def greedy(batch: pd.DataFrame) -> pd.DataFrame:
 METHODS = {"optimal": optimal, "greedy": greedy}
 
 
-def assigned(edges: DataFrame, method: str) -> DataFrame:
+def assigned(edges: DataFrame, method: str, last_resort: bool = False) -> DataFrame:
     """(batch, row, slot, cost, fallback) from edges (batch, row, slot, cost; cost null: not allowed).
 
-    Rows that the matching leaves out take their own cheapest slot, which others may have too. A batch is what one
+    Rows that the matching leaves out take their own cheapest slot, which others may have too. A row without an allowed
+    slot stays unmatched (slot and cost null), or with last_resort takes its lowest one at a cost of 1e9. A batch is what one
     evaluation point decides, so it is small and its size doesn't follow the number of sessions.
     """
     solve = METHODS[method]
@@ -99,6 +100,7 @@ def assigned(edges: DataFrame, method: str) -> DataFrame:
     kept = edges.select("batch", "row", "slot", F.col("cost").cast("double").alias("cost"))
     matched = kept.groupBy("batch").applyInPandas(run, f"batch {kinds['batch']}, row {kinds['row']}, slot {kinds['slot']}, cost double")
     own = kept.groupBy("batch", "row").agg(F.min(F.when(F.col("cost").isNotNull(), F.struct("cost", "slot"))).alias("m"), F.min("slot").alias("any"))
-    alone = own.select("batch", "row", F.coalesce("m.slot", "any").alias("own_slot"), F.coalesce("m.cost", F.lit(1e9)).alias("own_cost"))
+    slot, cost = (F.coalesce("m.slot", "any"), F.coalesce("m.cost", F.lit(1e9))) if last_resort else (F.col("m.slot"), F.col("m.cost"))
+    alone = own.select("batch", "row", slot.alias("own_slot"), cost.alias("own_cost"))
     joined = alone.join(matched, ["batch", "row"], "left")
     return joined.select("batch", "row", F.coalesce("slot", "own_slot").alias("slot"), F.coalesce("cost", "own_cost").alias("cost"), F.col("slot").isNull().alias("fallback"))

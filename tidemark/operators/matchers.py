@@ -54,4 +54,6 @@ def costed(pairs: DataFrame, matcher: Matcher, min_shared: int = 4) -> DataFrame
 
 def matched(pairs: DataFrame, matcher: Matcher, min_shared: int = 4) -> DataFrame:
     """(algorithm_id, batch, row, slot, cost, fallback)"""
-    return assigned(costed(pairs, matcher, min_shared), matcher.assign).withColumn("algorithm_id", F.lit(matcher.name))
+    # only the greedy matcher by waveform gives a row without an allowed slot one
+    last_resort = (matcher.cost, matcher.assign, len(matcher.prefixes)) == ("waveform", "greedy", 1)
+    return assigned(costed(pairs, matcher, min_shared), matcher.assign, last_resort).withColumn("algorithm_id", F.lit(matcher.name))

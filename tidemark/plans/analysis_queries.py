@@ -110,11 +110,11 @@ def a22g(spark, sf_dir):
     return p.select("repeat_idx", r6("A", "a"), r6("N", "n"), r6("R", "r"))
 
 
-_DIFF = "WITH d AS (SELECT l_suppkey % 10 AS g, l_quantity - 25 AS diff FROM lineitem WHERE l_linenumber = 1), z AS (SELECT g, diff, abs(diff) AS a FROM d WHERE diff <> 0), r AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY a) + (count(*) OVER (PARTITION BY g, a) - 1) / 2 AS r FROM z), t AS (SELECT g, sum(k * k * k - k) AS tie FROM (SELECT g, a, count(*) AS k FROM z GROUP BY ALL) GROUP BY g), w AS (SELECT g, count(*) AS n, least(coalesce(sum(r) FILTER (diff > 0), 0), coalesce(sum(r) FILTER (diff < 0), 0)) AS w FROM r GROUP BY g) "
+_DIFF = "WITH d AS (SELECT l_suppkey % 10 AS g, l_quantity - 25 AS diff FROM lineitem), z AS (SELECT g, diff, abs(diff) AS a FROM d WHERE diff <> 0), r AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY a) + (count(*) OVER (PARTITION BY g, a) - 1) / 2 AS r FROM z), t AS (SELECT g, sum(k * k * k - k) AS tie FROM (SELECT g, a, count(*) AS k FROM z GROUP BY ALL) GROUP BY g), w AS (SELECT g, count(*) AS n, least(coalesce(sum(r) FILTER (diff > 0), 0), coalesce(sum(r) FILTER (diff < 0), 0)) AS w FROM r GROUP BY g) "
 
 
 def _signed(spark, sf_dir):
-    d = fx.cut(table(spark, sf_dir, "lineitem"), "l_linenumber = 1").select((F.col("l_suppkey") % 10).alias("g"), (F.col("l_quantity") - 25).alias("diff"))
+    d = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("g"), (F.col("l_quantity") - 25).alias("diff"))
     return analysis.signed_rank(d, ["g"])
 
 

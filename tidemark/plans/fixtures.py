@@ -1,14 +1,11 @@
 """The engine's relations over the order, event and vector tables, and the same as SQL for the checks.
 
 One day of the order tables stands for one time unit: slots are suppliers that are busy from order to shipment,
-sessions are every 50th order in the queries that SQL checks, and every order in their `_all` forms.
+sessions are the orders.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from contextvars import ContextVar
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,28 +15,6 @@ from tidemark.session import table
 DAYS = RuntimeConfig(window=60, grid=5, tick=5, bound=10, margin=20, bucket=60)
 
 
-#: Parts of the tables that the SQL of some queries keeps to; over_all() lifts them.
-CUTS = ("o_orderkey % 50 = 0", "batch < 10", "batch >= 10 AND batch < 20", "slot % 5 = 0", "slot % 25 = 0", "l_linenumber = 1")
-_all: ContextVar[bool] = ContextVar("_all", default=False)
-
-
-def cut(df: DataFrame, condition: str) -> DataFrame:
-    return df if _all.get() else df.where(condition)
-
-
-def over_all(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The query over whole tables."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        token = _all.set(True)
-        try:
-            return f(spark, sf_dir)
-        finally:
-            _all.reset(token)
-
-    return run
-
-
 def day(column: str) -> Column:
     return F.unix_date(F.col(column).cast("date")).cast("long")
 
@@ -53,8 +28,8 @@ def slot_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ev, arrival, start_est, session_end, gt_slot)"""
-    orders = cut(table(spark, sf_dir, "orders"), "o_orderkey % 50 = 0").select("o_orderkey", "o_custkey", day("o_orderdate").alias("arrival"))
-    truth = cut(table(spark, sf_dir, "lineitem"), "l_orderkey % 50 = 0").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("gt_slot"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", day("o_orderdate").alias("arrival"))
+    truth = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("gt_slot"))
     joined = orders.join(truth, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return joined.select(F.col("o_orderkey").alias("ev"), "arrival", F.expr("arrival + (o_orderkey div 50) % 41 - 20").alias("start_est"), F.expr("arrival + 30 + o_custkey % 90").alias("session_end"), "gt_slot")
 
@@ -93,7 +68,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DAY = "(({}::DATE - DATE '1970-01-01'))::BIGINT"
 IV = f"""iv AS (SELECT slot, st, et FROM (SELECT l_suppkey AS slot, {_DAY.format('o_orderdate')} AS st, {_DAY.format('l_shipdate')} AS et FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WHERE et BETWEEN st AND st + 121)"""
 S2 = f"""s2 AS (SELECT o_orderkey AS ev, d AS arrival, d + (o_orderkey // 50) % 41 - 20 AS start_est, d + 30 + o_custkey % 90 AS session_end, gt AS gt_slot
-  FROM (SELECT o_orderkey, o_custkey, {_DAY.format('o_orderdate')} AS d FROM orders WHERE o_orderkey % 50 = 0)
+  FROM (SELECT o_orderkey, o_custkey, {_DAY.format('o_orderdate')} AS d FROM orders)
   LEFT JOIN (SELECT l_orderkey, min(l_suppkey) AS gt FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey)"""
 DEC = """pts AS (SELECT arrival AS t FROM s2 UNION SELECT session_end FROM s2), base AS (SELECT min(arrival) AS b FROM s2),
 w AS (SELECT *, start_est + 60 AS decision_end, least(start_est + 60, session_end) AS te, least(start_est + 60, session_end) + 10 AS wm FROM s2),

@@ -61,9 +61,9 @@ _ZP = WITH + f", zp AS (SELECT batch, row, slot, ri, cj, same, e, s, {_Z.format(
 _STEP = f"list_avg(list_transform(list_zip({_MED.format(v='e')}, {_MED.format(v='s')}), lambda t: abs(t[1] - t[2])))"
 
 
-@query("p11_banded_dtw", _ZP + f"SELECT row, slot, round({_DTW.format(x='zs', y='ze')} / 64, 6) AS dtw FROM zp WHERE batch < 10")
+@query("p11_banded_dtw", _ZP + f"SELECT row, slot, round({_DTW.format(x='zs', y='ze')} / 64, 6) AS dtw FROM zp")
 def p11(spark, sf_dir):
-    return fx.cut(_pairs(spark, sf_dir), "batch < 10").withColumn("t", terms_column("e", "s")).select("row", "slot", r6("t.dtw", "dtw"))
+    return _pairs(spark, sf_dir).withColumn("t", terms_column("e", "s")).select("row", "slot", r6("t.dtw", "dtw"))
 
 
 @query("p12_path_dtw")
@@ -79,9 +79,9 @@ def p13(spark, sf_dir):
     return _pairs(spark, sf_dir).select("row", "slot", r6(col.correlation("e", "s"), "corr"))
 
 
-@query("p14_waveform_cost", _ZP + f"SELECT row, slot, round({_DTW.format(x='zs', y='ze')} / 64 + 0.40::DOUBLE * {_STEP}, 6) AS cost FROM zp WHERE batch >= 10 AND batch < 20")
+@query("p14_waveform_cost", _ZP + f"SELECT row, slot, round({_DTW.format(x='zs', y='ze')} / 64 + 0.40::DOUBLE * {_STEP}, 6) AS cost FROM zp")
 def p14(spark, sf_dir):
-    return fx.cut(_pairs(spark, sf_dir), "batch >= 10 and batch < 20").select("row", "slot", r6(cost_column("e", "s"), "cost"))
+    return _pairs(spark, sf_dir).select("row", "slot", r6(cost_column("e", "s"), "cost"))
 
 
 @query("p15_coarse_cost", WITH + f"SELECT row, slot, round(0.95::DOUBLE * {_STEP} + 0.05::DOUBLE * abs(list_avg(e) - list_avg(s)), 6) AS cost FROM pr")
@@ -244,10 +244,21 @@ def b6(spark, sf_dir):
     return _pairs(spark, sf_dir).select("row", "slot", matchers.prefix_points(F.size("e"), 0.6, 4).alias("n1"), matchers.prefix_points(F.size("e"), 1.0, 4).alias("n2"))
 
 
-@query("b7_checkpoints", _B3 + "SELECT row, slot, unnest([1, 2, 3, 4, 5, 6]) AS checkpoint, round(unnest([1.0 / n, prior, post1, post1, like2, post2]), 6) AS value FROM fin")
+_B7 = (
+    _B3
+    + ", k0 AS (SELECT row, slot, post1, post2, 1.0 / n AS c1, 0.60::DOUBLE * ln(1.0 / n) + ln(greatest(prior, 1e-9)) AS s2, "
+    + "0.60::DOUBLE * ln(greatest(post1, 1e-9)) AS s4, 0.60::DOUBLE * ln(greatest(post1, 1e-9)) + 0.2::DOUBLE * ln(greatest(prior, 1e-9)) AS s5 FROM fin), "
+    + "k1 AS (SELECT row, slot, unnest([1, 2, 3, 4, 5, 6]) AS checkpoint, unnest([c1, exp(s2) / sum(exp(s2)) OVER w, post1, exp(s4) / sum(exp(s4)) OVER w, exp(s5) / sum(exp(s5)) OVER w, post2]) AS p FROM k0 WINDOW w AS (PARTITION BY row)), "
+    + "k2 AS (SELECT *, row_number() OVER (PARTITION BY row, checkpoint ORDER BY p DESC, slot) AS k FROM k1) "
+    + "SELECT row, checkpoint, round(max(p) FILTER (k = 1), 6) AS top1, round(max(p) FILTER (k = 2), 6) AS top2, CASE WHEN checkpoint = 6 THEN max(slot) FILTER (k = 1) END AS top_slot FROM k2 GROUP BY row, checkpoint"
+)
+
+
+@query("b7_checkpoints", _B7)
 def b7(spark, sf_dir):
-    stack = F.explode(F.expr("array(named_struct('k', 1, 'v', post0), named_struct('k', 2, 'v', prior), named_struct('k', 3, 'v', post1), named_struct('k', 4, 'v', post1), named_struct('k', 5, 'v', like2), named_struct('k', 6, 'v', post2))"))
-    return _posterior(spark, sf_dir).select("row", "slot", stack.alias("c")).select("row", "slot", F.col("c.k").alias("checkpoint"), r6("c.v", "value"))
+    """The top slot at the last checkpoint only: before it, slots can be equal but for rounding."""
+    found = bayes.checkpoints(_posterior(spark, sf_dir), ["row"], BayesConfig())
+    return found.select("row", "checkpoint", r6("top1"), r6("top2"), F.when(F.col("checkpoint") == 6, F.col("top_slot")).alias("top_slot"))
 
 
 @query("w7_softmax", _B0 + "SELECT row, slot, round(exp(-c1 + min(c1) OVER w) / sum(exp(-c1)) OVER w * exp(-min(c1) OVER w), 6) AS p FROM x WINDOW w AS (PARTITION BY row)")

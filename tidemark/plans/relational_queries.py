@@ -150,7 +150,7 @@ def p23(spark, sf_dir):
     return a.select("ev", F.expr("least(greatest(coalesce(first, arrival) + (ev % 41 - 20) * 1000000, arrival - 30000000), arrival + 86400000000)").alias("start_est"))
 
 
-_REASON = "CASE WHEN long_share >= 0.6 THEN 'long_sessions' WHEN overlap >= 0.95 THEN 'overlap' ELSE 'capacity' END"
+_REASON = "CASE WHEN long_share >= 0.6 THEN 'long_session_occupancy_domination' WHEN overlap >= 0.95 THEN 'session_overlap_concentration' ELSE 'arrival_slot_full' END"
 
 
 @query("p24_blocked_reason", f"WITH a AS (SELECT o_custkey, count(*) FILTER (o_totalprice > 200000) / count(*) AS long_share, count(DISTINCT o_orderpriority) / 5 AS overlap FROM orders GROUP BY o_custkey) SELECT {_REASON} AS reason, count(*) AS n FROM a GROUP BY 1")
@@ -158,7 +158,7 @@ def p24(spark, sf_dir):
     from tidemark.operators.analysis import primary_cause
 
     a = table(spark, sf_dir, "orders").groupBy("o_custkey").agg((F.count_if(F.col("o_totalprice") > 200000) / F.count("*")).alias("long_share"), (F.count_distinct("o_orderpriority") / 5).alias("overlap"))
-    return a.groupBy(primary_cause([("long_sessions", F.col("long_share") >= 0.6), ("overlap", F.col("overlap") >= 0.95)], "capacity").alias("reason")).agg(F.count("*").alias("n"))
+    return a.groupBy(primary_cause([("long_session_occupancy_domination", F.col("long_share") >= 0.6), ("session_overlap_concentration", F.col("overlap") >= 0.95)], "arrival_slot_full").alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("p26_primary_cause", "SELECT CASE WHEN l_discount > 0.08 THEN 'truncation' WHEN l_tax > 0.06 THEN 'ingestion' WHEN l_quantity > 40 THEN 'sensing' ELSE 'overlap' END AS cause, count(*) AS n FROM lineitem GROUP BY 1")

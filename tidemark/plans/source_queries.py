@@ -128,14 +128,14 @@ def k9(spark, sf_dir):
     return sinks.retained(o, 20, "o_orderpriority", "o_orderkey")[0]
 
 
-_GRID = f"""WITH {fx.IV}, {fx.PAT}, b AS (SELECT slot, st, et, p FROM iv JOIN pat ON slot = pattern_idx WHERE slot % 5 = 0), g AS (SELECT DISTINCT slot, unnest(range(8000, 11000, 25)) AS t FROM b),
+_GRID = f"""WITH {fx.IV}, {fx.PAT}, b AS (SELECT slot, st, et, p FROM iv JOIN pat ON slot = pattern_idx), g AS (SELECT DISTINCT slot, unnest(range(8000, 11000, 25)) AS t FROM b),
 m AS (SELECT g.slot, g.t, p[((g.t - st - 1) % 6) + 1] AS v, st, et, row_number() OVER (PARTITION BY g.slot, g.t ORDER BY st DESC, et DESC) AS k FROM g LEFT JOIN b ON b.slot = g.slot AND g.t > st AND g.t <= et)
 SELECT slot, t, coalesce(v, 0.0) AS value FROM m WHERE k = 1"""
 
 
 @query("s12_slot_grid", _GRID)
 def s12(spark, sf_dir):
-    busy = fx.cut(fx.slot_intervals(spark, sf_dir), "slot % 5 = 0").join(fx.patterns(spark, sf_dir), F.col("slot") == F.col("pattern_idx")).select("slot", "st", "et", F.col("p").alias("wave"))
+    busy = fx.slot_intervals(spark, sf_dir).join(fx.patterns(spark, sf_dir), F.col("slot") == F.col("pattern_idx")).select("slot", "st", "et", F.col("p").alias("wave"))
     points = busy.select("slot").distinct().select("slot", F.explode(F.expr("sequence(8000L, 10999L, 25L)")).alias("t"))
     return waves.slot_grid(points, busy, 60)
 

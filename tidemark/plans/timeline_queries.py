@@ -121,10 +121,10 @@ def j1(spark, sf_dir):
 _FEW = fx.GATED.replace("JOIN iv ON", "JOIN few AS iv ON")
 
 
-@query("j2_gate_fallback", f"""WITH {fx.IV}, few AS (SELECT * FROM iv WHERE slot % 25 = 0), {fx.S2}, {fx.DEC}, {_FEW}
+@query("j2_gate_fallback", f"""WITH {fx.IV}, few AS (SELECT * FROM iv), {fx.S2}, {fx.DEC}, {_FEW}
 SELECT ev, slot, true AS gated FROM gated UNION ALL SELECT dec.ev, f.slot, false FROM dec, (SELECT DISTINCT slot FROM few) f WHERE dec.ev NOT IN (SELECT ev FROM gated)""")
 def j2(spark, sf_dir):
-    d, iv = decided(spark, sf_dir), fx.cut(fx.slot_intervals(spark, sf_dir), "slot % 25 = 0")
+    d, iv = decided(spark, sf_dir), fx.slot_intervals(spark, sf_dir)
     return gate.with_fallback(d, gate.candidates(d, iv, C), iv)
 
 

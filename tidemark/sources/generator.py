@@ -13,6 +13,9 @@ from tidemark import schemas
 from tidemark.sources.waves import response
 
 LOW, HIGH = 6, 30
+#: Seconds between the charger's samples, the meter's noise in ampere, why a request is blocked.
+SAMPLE, NOISE = 5, 0.20
+BLOCKED = ("long_session_occupancy_domination", "session_overlap_concentration", "arrival_slot_full")
 
 
 @dataclass(frozen=True)
@@ -97,16 +100,19 @@ def make(scenario_id: int, s: Scenario) -> dict[str, pd.DataFrame]:
     book = codebook(s.patterns, rng, s.steps)
     window = 60 * s.steps
     arrivals = np.sort(np.clip(np.array(s.arrivals, dtype=float) if s.arrivals else rng.uniform(0, s.last_arrival, s.sessions), 0, s.last_arrival)).round()
-    lengths = rng.randint(s.shortest, s.longest + 1, len(arrivals))
+    # no session outlasts the horizon
+    lengths = np.minimum(rng.randint(s.shortest, s.longest + 1, len(arrivals)), (s.horizon - arrivals).astype(int))
     slots = admitted(arrivals, lengths, s.slots, rng)
     used_until, rows, busy, blocked, points = {}, [], [], [], []
     for i, (t, n, slot) in enumerate(zip(arrivals, lengths, slots, strict=True)):
         active = int(((arrivals[:i] + lengths[:i] > t) & (slots[:i] >= 0)).sum())
         if slot < 0:
-            going = lengths[:i][(arrivals[:i] + lengths[:i] > t) & (slots[:i] >= 0)]
-            long = float((going > 0.75 * s.longest).mean()) if len(going) else 0.0
+            # the time that the running sessions still take
+            going = (arrivals[:i] + lengths[:i] - t)[slots[:i] >= 0]
+            going = going[going > 0]
+            long = float((going >= 0.75 * s.longest).mean()) if len(going) else 0.0
             full = active / s.slots
-            blocked.append((scenario_id, i, float(t), active, int(n), "long_sessions" if long >= 0.6 else "overlap" if full >= 0.95 else "capacity", full, long))
+            blocked.append((scenario_id, i, float(t), active, int(n), BLOCKED[0] if long >= 0.6 else BLOCKED[1] if full >= 0.95 else BLOCKED[2], full, long))
             continue
         # the free pattern that is farthest from those in use
         free = [k for k in range(len(book)) if used_until.get(k, -1) <= t] or list(range(len(book)))
@@ -114,10 +120,11 @@ def make(scenario_id: int, s: Scenario) -> dict[str, pd.DataFrame]:
         k = max(free, key=lambda p: min((int(np.abs(book[p] - book[q]).sum()) for q in in_use), default=0))
         used_until[k] = t + n
         lag, ramp = (float(rng.uniform(2, 30)), float(rng.uniform(1, 10))) if s.heterogeneous else (None, None)
-        delay, gain, bias, noise = int(rng.randint(0, 21)), float(np.clip(rng.normal(1, 0.03), 0.8, 1.2)), float(rng.normal(0, 0.35)), 0.25
+        delay, gain, bias, noise = int(rng.randint(0, 21)), float(np.clip(rng.normal(1, 0.03), 0.8, 1.2)), float(rng.normal(0, 0.35)), NOISE
         wave = response(book[k], 15.0 if lag is None else lag, ramp=ramp)
-        at = np.arange(window + 1) - delay - 1
-        seen = np.where((at >= 0) & (at < n), wave[np.clip(at, 0, len(wave) - 1)], 0.0)
+        # the meter reads the slot later than it says; the pattern is issued again as long as the session lasts
+        at = np.arange(window + 1) + SAMPLE + delay
+        seen = np.where(at <= n, wave[(at - 1) % len(wave)], 0.0)
         measured = np.ceil(np.maximum(seen * gain + bias + rng.normal(0, noise, len(seen)), 0) - 1e-9)
         risen = np.flatnonzero(measured >= 1)
         start = float(np.clip(t + (risen[0] if len(risen) else 0) + rng.randint(-20, 21), t - s.period, t + max(s.period, window / 2)))
