@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Written, small
+from .shared import Written, slices, small
 
 SAMPLE, LABELLED, SUPPORT = 50_000, 1_000_000, 0.0002
 #: Characters that look like Latin letters, then digits and signs that stand for letters.
@@ -87,48 +88,86 @@ def learn_lexicon(rows: DataFrame, least: int = 5, support: float = SUPPORT, pur
     hits = Written(counts.df.select("word", "t", "c", F.explode(starts).alias("stem")).join(stems, "stem").select("word", "t", "c").distinct())
     clean = (F.col("c") >= least_c) & (F.col("t") * 2 < F.col("c"))
     words = [r["word"] for r in hits.df.where(clean).select("word").collect()]
-    # what stands around a hit, a blank between
-    hit = hits.df.where(~clean).select(F.col("word").alias("hit"))
-    hit = small(hit, *hit.agg(F.count("*"), F.coalesce(F.max(F.octet_length("hit")), F.lit(0)) + 16).first())
-    beside = F.lit(r"(?<!\p{L})(\p{L}++)(?= (\p{L}+))")
-    f = folded(F.col("text"))
-    pairs = F.arrays_zip(F.regexp_extract_all(f, beside, F.lit(1)).alias("a"), F.regexp_extract_all(f, beside, F.lit(2)).alias("b"))
-    # as strings: the distinct ones of structs would be found by comparing all with all
-    phrase = F.explode(F.array_distinct(F.transform(pairs, lambda p: F.concat_ws(" ", p["a"], p["b"])))).alias("phrase")
-    around = rows.select("toxic", phrase).withColumn("a", F.substring_index("phrase", " ", 1)).withColumn("b", F.substring_index("phrase", " ", -1))
-    first, second = around.join(hit, F.col("a") == F.col("hit"), "left_semi"), around.join(hit, F.col("b") == F.col("hit"), "left_semi").join(hit, F.col("a") == F.col("hit"), "left_anti")
-    phrases = _tally(first.union(second).select("toxic", "phrase"), "phrase").where(clean)
+    phrase = F.explode(_beside(rows, kept, words)).alias("phrase")
+    phrases = _tally(rows.select("toxic", phrase), "phrase").where(clean)
     words += [r["phrase"] for r in phrases.select("phrase").collect()]
     counts.drop()
     hits.drop()
     return kept, sorted(words)
 
 
+def _automaton(weights: dict[str, float], excepted: list[str]):
+    """Of stems, whole words (a blank behind) and exceptions: (length, weight or None, whether it must end a word)."""
+    import ahocorasick
+
+    auto = ahocorasick.Automaton()
+    for stem, w in weights.items():
+        auto.add_word(stem.rstrip(" "), (len(stem.rstrip(" ")), w, stem.endswith(" ")))
+    for phrase in excepted:
+        if phrase and phrase not in weights and f"{phrase} " not in weights:
+            auto.add_word(phrase, (len(phrase), None, True))
+    if len(auto):
+        auto.make_automaton()
+    return auto
+
+
+def _matches(auto, x: str) -> Iterator[tuple[int, int, float | None]]:
+    """(first, last, weight or None) of the entries that begin a word of x, and end one where they must."""
+    for end, (n, w, whole) in auto.iter(x) if len(auto) and x else ():
+        at = end + 1 - n
+        if not (at and x[at - 1].isalpha() or whole and end + 1 < len(x) and x[end + 1].isalpha()):
+            yield at, end, w
+
+
+def _beside(rows: DataFrame, lexicon: dict[str, float], clean: list[str], text: str = "text") -> Column:
+    """The text's different phrases of a hit and the word before or after it, a blank between; clean words are no hits."""
+    shared = rows.sparkSession.sparkContext.broadcast((lexicon, frozenset(clean)))
+
+    @F.arrow_udf("array<string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        weights, harmless = shared.value
+        auto = _automaton(weights, [])
+
+        def word(x: str, at: int, step: int) -> int:
+            """Where the word that goes on at `at` ends, in the direction of step; one past it."""
+            while 0 <= at < len(x) and x[at].isalpha():
+                at += step
+            return at
+
+        def around(x: str) -> list[str]:
+            found = set()
+            for at in sorted({at for at, _, _ in _matches(auto, x)}):
+                end = word(x, at, 1)
+                if x[at:end] in harmless:
+                    continue
+                before = word(x, at - 2, -1) + 1 if at and x[at - 1] == " " else at
+                if before < at - 1:
+                    found.add(x[before:end])
+                after = word(x, end + 1, 1) if end < len(x) and x[end] == " " else end
+                if after > end + 1:
+                    found.add(x[at:after])
+            return sorted(found)
+
+        for batch in batches:
+            parts = slices(pa.record_batch([batch], names=["x"]), 0)
+            out = [pa.array([around(x) for x in part.column(0).to_pylist()], pa.list_(pa.string())) for part in parts]
+            yield pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.string()))
+
+    return run(folded(F.col(text)))
+
+
 def features(docs: DataFrame, lexicon: dict[str, float], exceptions: list[str], text: str = "text") -> Column:
     """array(sum of the weights found, its share of the length) of the text."""
     shared = docs.sparkSession.sparkContext.broadcast((lexicon, exceptions))
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
-
-        weights, excepted = shared.value
-        auto = ahocorasick.Automaton()
-        for stem, w in weights.items():
-            auto.add_word(stem.rstrip(" "), (len(stem.rstrip(" ")), w, stem.endswith(" ")))
-        for phrase in excepted:
-            if phrase and phrase not in weights and f"{phrase} " not in weights:
-                auto.add_word(phrase, (len(phrase), None, True))
-        if len(auto):
-            auto.make_automaton()
+        auto = _automaton(*shared.value)
         for batch in batches:
             out = []
             for x in batch:
                 hits, safe = {}, []
-                for end, (n, w, whole) in auto.iter(x) if len(auto) and x else ():
-                    at = end + 1 - n
-                    if at and x[at - 1].isalpha() or whole and end + 1 < len(x) and x[end + 1].isalpha():
-                        continue
+                for at, end, w in _matches(auto, x):
                     if w is None:
                         safe.append((at, end))
                     else:
