@@ -66,7 +66,19 @@ def p11(spark, sf_dir):
     return _pairs(spark, sf_dir).withColumn("t", terms_column("e", "s")).select("row", "slot", r6("t.dtw", "dtw"))
 
 
-@query("p12_path_dtw")
+# cells are [cost, steps of the path]; of equal ways back the diagonal goes first, then up
+_PATH = """list_reduce(list_prepend(list_concat([[0.0::DOUBLE, 0.0::DOUBLE]], list_transform(range(1, len({y}) + 1), lambda z: [1e18::DOUBLE, z::DOUBLE])), list_transform(range(1, len({x}) + 1), lambda r: [[r::DOUBLE]])),
+  lambda prev, rr: list_reduce(list_prepend([[1e18::DOUBLE, rr[1][1]]], list_transform(range(1, len({y}) + 1), lambda k: [[k::DOUBLE]])),
+    lambda cur, kk: list_append(cur, [abs({x}[rr[1][1]::INT] - {y}[kk[1][1]::INT]) + least(prev[kk[1][1]::INT][1], prev[kk[1][1]::INT + 1][1], cur[kk[1][1]::INT][1]),
+      1 + CASE WHEN prev[kk[1][1]::INT][1] <= least(prev[kk[1][1]::INT + 1][1], cur[kk[1][1]::INT][1]) THEN prev[kk[1][1]::INT][2] WHEN prev[kk[1][1]::INT + 1][1] <= cur[kk[1][1]::INT][1] THEN prev[kk[1][1]::INT + 1][2] ELSE cur[kk[1][1]::INT][2] END])))[len({y}) + 1]"""
+_WAYS = (
+    WITH
+    + ", fl AS (SELECT batch, row, slot, ri, cj, e, s, list_transform(e, lambda x: x::FLOAT::DOUBLE) AS fe, list_transform(s, lambda x: x::FLOAT::DOUBLE) AS fs FROM pr), "
+    + f"pw AS MATERIALIZED (SELECT batch, row, slot, ri, cj, e, s, {_PATH.format(x='fe', y='fs')} AS p FROM fl)"
+)
+
+
+@query("p12_path_dtw", _WAYS + " SELECT row, slot, round(p[1] / p[2], 6) AS dtw FROM pw")
 def p12(spark, sf_dir):
     return _pairs(spark, sf_dir).withColumn("t", terms_column("e", "s")).select("row", "slot", r6("t.path", "dtw"))
 
@@ -119,8 +131,8 @@ def m5(spark, sf_dir):
     return _edges(spark, sf_dir).select("row", "slot", F.round("cost", 7).alias("cost"))
 
 
-def _enumerated(cost: str, source: str) -> str:
-    """SQL of the cheapest of all matchings of 5 x 5 batches."""
+def _cheapest(cost: str, source: str) -> str:
+    """SQL relations up to `chosen`, the cheapest of all matchings of 5 x 5 batches."""
     at = ", ".join(f"max(CASE WHEN ri = {i} AND cj = {j} THEN {cost} END) AS c{i}{j}, max(CASE WHEN cj = {j} THEN slot END) AS s{j}" if i == 0 else f"max(CASE WHEN ri = {i} AND cj = {j} THEN {cost} END) AS c{i}{j}" for i in range(5) for j in range(5))
     rows = ", ".join(f"max(CASE WHEN ri = {i} THEN row END) AS r{i}" for i in range(5))
     pick = lambda i, names: f"list_extract([{names}], p{i} + 1)"
@@ -128,11 +140,15 @@ def _enumerated(cost: str, source: str) -> str:
     slots = ", ".join(f"s{j}" for j in range(5))
     return (
         f", wide AS (SELECT batch, {at}, {rows} FROM {source} GROUP BY batch HAVING count(*) = 25), k AS (SELECT unnest(range(0, 5)) AS p), perm AS (SELECT a.p AS p0, b.p AS p1, c.p AS p2, d.p AS p3, e.p AS p4 FROM k a, k b, k c, k d, k e WHERE len(list_distinct([a.p, b.p, c.p, d.p, e.p])) = 5), "
-        f"every AS (SELECT batch, {total} AS total, [{', '.join(pick(i, slots) for i in range(5))}] AS chosen, [{', '.join(f'r{i}' for i in range(5))}] AS rows_ FROM wide, perm), best AS (SELECT batch, arg_min(chosen, total) AS chosen, any_value(rows_) AS rows_ FROM every GROUP BY batch) "
-        "SELECT batch, unnest(rows_) AS row, unnest(chosen) AS slot FROM best"
+        f"every AS (SELECT batch, {total} AS total, [{', '.join(pick(i, slots) for i in range(5))}] AS chosen, [{', '.join(f'r{i}' for i in range(5))}] AS rows_ FROM wide, perm), best AS (SELECT batch, arg_min(chosen, total) AS chosen, any_value(rows_) AS rows_ FROM every GROUP BY batch)"
+        ", chosen AS (SELECT batch, unnest(rows_) AS row, unnest(chosen) AS slot FROM best)"
     )
 
 
+def _enumerated(cost: str, source: str) -> str:
+    return _cheapest(cost, source) + " SELECT batch, row, slot FROM chosen"
+
+
 def _full(edges):
     """Batches of five by five."""
     full = edges.groupBy("batch").agg(F.count("*").alias("n")).where("n = 25").select("batch")
@@ -148,7 +164,8 @@ _PICKS = "".join(
     f", g{k} AS (SELECT o.batch, o.row, (SELECT arg_min(c.slot, c.c) FROM co c WHERE c.row = o.row" + "".join(f" AND c.slot <> p{i}.slot" for i in range(1, k)) + f") AS slot FROM ord o" + "".join(f" JOIN g{i} p{i} ON p{i}.batch = o.batch" for i in range(1, k)) + f" WHERE o.k = {k})"
     for k in range(1, 6)
 )
-_GREEDY = _CO + ", ra AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY c, slot) AS q FROM co), mg AS (SELECT batch, row, min(c) FILTER (q = 1) AS b, min(c) FILTER (q = 2) - min(c) FILTER (q = 1) AS m FROM ra GROUP BY ALL), ord AS (SELECT batch, row, row_number() OVER (PARTITION BY batch ORDER BY m DESC, b, row) AS k FROM mg)" + _PICKS + " " + " UNION ALL ".join(f"SELECT * FROM g{k}" for k in range(1, 6))
+_PICKED = ", ra AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY c, slot) AS q FROM co), mg AS (SELECT batch, row, min(c) FILTER (q = 1) AS b, min(c) FILTER (q = 2) - min(c) FILTER (q = 1) AS m FROM ra GROUP BY ALL), ord AS (SELECT batch, row, row_number() OVER (PARTITION BY batch ORDER BY m DESC, b, row) AS k FROM mg)" + _PICKS + ", chosen AS (" + " UNION ALL ".join(f"SELECT * FROM g{k}" for k in range(1, 6)) + ")"
+_GREEDY = _CO + _PICKED + " SELECT batch, row, slot FROM chosen"
 
 
 @query("m4_greedy_assignment", _GREEDY)
@@ -182,7 +199,8 @@ def w6(spark, sf_dir):
 _N1 = "list_avg(list_transform(list_zip(e[1:38], s[1:38]), lambda t: abs(t[1] - t[2])))"
 _B0 = WITH + f", x AS (SELECT batch, row, slot, ri, cj, abs(row - slot)::DOUBLE AS d, {_N1} AS c1, {_L1} AS c2 FROM pr) "
 _NORM = "greatest({x}, 1e-9) / sum(greatest({x}, 1e-9)) OVER (PARTITION BY row)"
-_B1 = _B0 + ", st AS (SELECT row, greatest(quantile_cont(d, 0.75), 1.0) AS sc, count(*) AS n FROM x GROUP BY row), a1 AS (SELECT x.*, n, exp(-(d / sc)) AS raw FROM x JOIN st USING (row)), a2 AS (SELECT *, " + _NORM.format(x="raw") + " AS sh FROM a1), a3 AS (SELECT *, 0.35::DOUBLE * sh + 0.65::DOUBLE / n AS mx FROM a2), pri AS (SELECT *, " + _NORM.format(x="mx") + " AS prior FROM a3) "
+_PRIOR = ", st AS (SELECT row, greatest(quantile_cont(d, 0.75), 1.0) AS sc, count(*) AS n FROM x GROUP BY row), a1 AS (SELECT x.*, n, exp(-(d / sc)) AS raw FROM x JOIN st USING (row)), a2 AS (SELECT *, " + _NORM.format(x="raw") + " AS sh FROM a1), a3 AS (SELECT *, 0.35::DOUBLE * sh + 0.65::DOUBLE / n AS mx FROM a2), pri AS (SELECT *, " + _NORM.format(x="mx") + " AS prior FROM a3) "
+_B1 = _B0 + _PRIOR
 
 
 def _like(cost: str, source: str, out: str) -> str:
@@ -200,7 +218,8 @@ def _post(source: str, before: str, like: str, power: str, out: str) -> str:
     )
 
 
-_B3 = _B1 + _like("c1", "pri", "1") + _post("l12", "1.0 / n", "like1", "1.0", "1") + _like("c2", "u1", "2") + _post("l22", "post1", "like2", "0.2", "2") + ", fin AS (SELECT *, 0.85::DOUBLE * -ln(greatest(post2, 1e-9)) + 0.15::DOUBLE * -ln(greatest(like2, 1e-9)) AS cost FROM u2) "
+_STAGES = _like("c1", "pri", "1") + _post("l12", "1.0 / n", "like1", "1.0", "1") + _like("c2", "u1", "2") + _post("l22", "post1", "like2", "0.2", "2") + ", fin AS (SELECT *, 0.85::DOUBLE * -ln(greatest(post2, 1e-9)) + 0.15::DOUBLE * -ln(greatest(like2, 1e-9)) AS cost FROM u2) "
+_B3 = _B1 + _STAGES
 
 
 def _staged(spark, sf_dir):
@@ -279,7 +298,32 @@ def p34(spark, sf_dir):
 
 # the registry's matchers
 
-_TIME = WITH + ", tm AS (SELECT batch, row, slot, ri, cj, abs(row - slot)::DOUBLE + 1e-6::DOUBLE * (ri + 0.01::DOUBLE * cj) AS c FROM pr)"
+
+
+def _wave(n: int) -> str:
+    """SQL relations up to c{n}, the waveform cost over the first n points."""
+    return (
+        f", w{n} AS (SELECT batch, row, slot, ri, cj, e[1:{n}] AS e, s[1:{n}] AS s FROM pr), z{n} AS (SELECT *, {_Z.format(v='e')} AS ze, {_Z.format(v='s')} AS zs FROM w{n}), "
+        f"c{n} AS MATERIALIZED (SELECT batch, row, slot, ri, cj, {_DTW.format(x='zs', y='ze')} / {n} + 0.40::DOUBLE * {_STEP} AS c FROM z{n})"
+    )
+
+
+def _ranked(cost: str, source: str) -> str:
+    """SQL relation co: the costs of full batches with what breaks ties."""
+    return f", co AS MATERIALIZED (SELECT batch, row, slot, ri, cj, {cost} + 1e-6::DOUBLE * (ri + 0.01::DOUBLE * cj) AS c FROM {source} QUALIFY count(*) OVER (PARTITION BY batch) = 25)"
+
+
+_FOUND = " SELECT batch, row, slot, round(c, 5) AS cost, false AS fallback FROM chosen JOIN co USING (batch, row, slot)"
+_SINGLE = WITH + _wave(64) + _ranked("c", "c64")
+# 38 of 64 points are the share 0.6
+_BOTH = WITH + _wave(38) + _wave(64) + ", x AS (SELECT batch, row, slot, ri, cj, abs(row - slot)::DOUBLE AS d, a.c AS c1, b.c AS c2 FROM c38 a JOIN c64 b USING (batch, row, slot, ri, cj))"
+_TWO = _BOTH + _ranked("(c1 + c2) / 2", "x")
+_SIMILAR = (
+    _WAYS
+    + f", sm AS (SELECT batch, row, slot, ri, cj, p[1] / p[2] AS d, ({_CORR} + 1) / 2 AS r FROM pw), nr AS (SELECT *, min(d) OVER w AS lo, max(d) OVER w AS hi FROM sm WINDOW w AS (PARTITION BY batch))"
+    + _ranked("1 - r * CASE WHEN hi = lo THEN 1.0 ELSE 1 - (d - lo) / (hi - lo) END", "nr")
+)
+_BELIEF = _BOTH + _PRIOR + _STAGES + _ranked("cost", "fin")
 
 
 def _match(name: str):
@@ -290,11 +334,11 @@ def _match(name: str):
 
 
 query("m6_time_only")(_match("time_only"))
-query("m7_single_only")(_match("single_only"))
-query("m8_similarity")(_match("nomura_original_hungarian"))
-query("m9_bayesian")(_match("bayesian_windowed"))
-query("m10_two_prefix_greedy")(_match("two_prefix_greedy"))
-query("m11_two_prefix_optimal")(_match("two_prefix_hungarian"))
+query("m7_single_only", _SINGLE + _PICKED + _FOUND)(_match("single_only"))
+query("m8_similarity", _SIMILAR + _cheapest("c", "co") + _FOUND)(_match("nomura_original_hungarian"))
+query("m9_bayesian", _BELIEF + _cheapest("c", "co") + _FOUND)(_match("bayesian_windowed"))
+query("m10_two_prefix_greedy", _TWO + _PICKED + _FOUND)(_match("two_prefix_greedy"))
+query("m11_two_prefix_optimal", _TWO + _cheapest("c", "co") + _FOUND)(_match("two_prefix_hungarian"))
 
 
 @query("m12_ablations")
