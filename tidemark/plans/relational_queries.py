@@ -243,9 +243,9 @@ def o6(spark, sf_dir):
     return a.union(table(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_custkey")).distinct()
 
 
-@query("o7_set_difference", "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("o7_set_difference", "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
 def o7(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").join(o, "c_custkey", "left_anti").select(F.col("c_custkey").alias("k"))
 
 
