@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -206,3 +207,18 @@ def test_toxicity_edges(docs, none, spark):
     assert none.select(toxicity.score(none, model)).collect() == []
     one = toxicity.train(spark.createDataFrame([("a b", 1), (None, 1)], "text string, toxic int"))
     assert all(0 <= r[0] <= 1 for r in docs.select(toxicity.score(docs, one)).collect())
+
+
+def test_words_beside_hits(spark):
+    """Against all pairs of words that a blank joins, of which one begins like a stem or is a whole word of the lexicon."""
+    texts = [None, "", "grob", "a grobian b", "a  grobian\nb", "mean grob mean", "x grobheit grob y, grob", "xgrob grob", "GR0B mann tell teller tell", "é grobß grobé"]
+    lexicon, clean = {"grob": 1.0, "tell ": 1.0}, ["grobheit"]
+    expected = []
+    for text in texts:
+        x = (text or "").lower().translate(str.maketrans(toxicity.LOOKALIKES, toxicity.LETTERS))
+        hit = lambda w: w not in clean and (w.startswith("grob") or w == "tell")
+        words = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^\W\d_]+", x)]
+        expected.append(sorted({f"{a[2]} {b[2]}" for a, b in zip(words, words[1:]) if x[a[1] : b[0]] == " " and (hit(a[2]) or hit(b[2]))}))
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r[0]: r[1] for r in rows.select("i", toxicity._beside(rows, lexicon, clean)).collect()}
+    assert [got[i] for i in range(len(texts))] == expected
