@@ -261,3 +261,24 @@ def test_registry():
     with pytest.raises(ValueError):
         RuntimeConfig(window=0)
     assert CostWeights().step == 0.4
+
+
+def test_time_costs_agree_with_all_intervals(spark):
+    rng = random.Random(5)
+    c = RuntimeConfig(window=60, bound=10, margin=20, bucket=50)
+    busy = [(rng.randrange(6), (t := rng.randrange(-300, 900)), t + rng.choice([0, 3, 40, 400])) for _ in range(60)]
+    asked = [(ev, rng.randrange(-400, 1_400), rng.randrange(-400, 1_400)) for ev in range(80)]
+    # times that meet starts and ends, an interval twice, a slot without intervals
+    asked += [(100 + i, st, et) for i, (_, st, et) in enumerate(busy)]
+    iv = spark.createDataFrame(busy + busy[:3], "slot long, st long, et long")
+    d = spark.createDataFrame(asked, "ev long, effective_end long, start_est long")
+    edges = d.select("ev").crossJoin(spark.range(7).select(F.col("id").alias("slot")))
+    want = {}
+    for ev, te, start in asked:
+        for slot in range(6):
+            own = [(st, et) for s, st, et in busy if s == slot]
+            if own:
+                want[ev, slot] = (min(max(st - te, te - et, 0) for st, et in own), min(abs(st - start) for st, _ in own))
+    found = gate.time_costs(edges, d, iv, c).collect()
+    assert len(found) == len(want) and {(r.ev, r.slot): (r.end_dist, r.start_dist) for r in found} == want
+    assert gate.time_costs(edges, d, iv.where("false"), c).count() == 0

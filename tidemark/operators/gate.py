@@ -15,7 +15,7 @@ def bucketed(df: DataFrame, low: Column, high: Column, width: int) -> DataFrame:
 
 
 def candidates(decided: DataFrame, intervals: DataFrame, config: RuntimeConfig) -> DataFrame:
-    """(ev, slot): slots busy at any of the probes, every `tick` from effective_end - margin to the decision or + margin.
+    """(ev, slot) of decided, a row a session: slots busy at any of the probes, every `tick` from effective_end - margin to the decision or + margin.
 
     Both ends of an interval are busy. An interval between two probes isn't seen; a window that ends before it begins has one probe at its end.
     """
@@ -27,9 +27,11 @@ def candidates(decided: DataFrame, intervals: DataFrame, config: RuntimeConfig)
     step = config.tick
     first = F.greatest(F.lit(0), F.ceil((F.col("st") - F.col("_lo")) / step))
     last = F.least(F.floor((F.col("_hi") - F.col("_lo")) / step), F.floor((F.col("et") - F.col("_lo")) / step))
-    left = bucketed(probes, F.col("_lo"), F.col("_hi"), config.bucket)
-    right = bucketed(intervals.select("slot", "st", "et"), F.col("st"), F.col("et"), config.bucket).withColumnRenamed("_bucket", "_cell")
-    return left.join(right, (F.col("_bucket") == F.col("_cell")) & (first <= last)).select("ev", "slot").distinct()
+    # sessions with the same window ask once
+    left = bucketed(probes.select("_lo", "_hi").distinct(), F.col("_lo"), F.col("_hi"), config.bucket)
+    right = bucketed(intervals.select("slot", "st", "et").distinct(), F.col("st"), F.col("et"), config.bucket).withColumnRenamed("_bucket", "_cell")
+    met = left.join(right, (F.col("_bucket") == F.col("_cell")) & (first <= last)).select("_lo", "_hi", "slot").distinct()
+    return probes.join(met, ["_lo", "_hi"]).select("ev", "slot")
 
 
 def with_fallback(decided: DataFrame, gated: DataFrame, slots: DataFrame) -> DataFrame:
@@ -43,11 +45,37 @@ def end_distance(t: Column, st: Column, et: Column) -> Column:
     return F.greatest(st - t, t - et, F.lit(0))
 
 
+def nearest(points: DataFrame, intervals: DataFrame, width: int) -> DataFrame:
+    """points (slot, t) with before, after, reach: the last start at or before t, the first start after it, the latest end of those that start at or before it.
+
+    Intervals are sorted within cells of `width` of a slot, so a busy slot is many tasks; what lies in other cells is
+    known from one row a cell. No point meets all intervals of its slot.
+    """
+    cell = lambda t: F.floor(F.col(t) / width).cast("long").alias("_cell")
+    asked = points.select("slot", "t", cell("t"))
+    held = intervals.select("slot", F.col("st").alias("t"), cell("st"), "st", "et").where("st is not null")
+    every = held.unionByName(asked, allowMissingColumns=True)
+    cells = every.groupBy("slot", "_cell").agg(F.min("st").alias("_lo"), F.max("st").alias("_hi"), F.max("et").alias("_et"))
+    earlier = Window.partitionBy("slot").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("slot").orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+    around = cells.select("slot", "_cell", F.max("_hi").over(earlier).alias("_before"), F.max("_et").over(earlier).alias("_reach"), F.min("_lo").over(later).alias("_after"))
+    up = Window.partitionBy("slot", "_cell").orderBy("t", F.col("st").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("slot", "_cell").orderBy(F.desc("t"), F.desc(F.col("st").isNull())).rowsBetween(Window.unboundedPreceding, 0)
+    within = every.select("slot", "_cell", "t", "st", F.max("st").over(up).alias("before"), F.max("et").over(up).alias("reach"), F.min("st").over(down).alias("after")).where("st is null")
+    both = within.join(around, ["slot", "_cell"])
+    return both.select("slot", "t", F.coalesce("before", "_before").alias("before"), F.coalesce("after", "_after").alias("after"), F.greatest("reach", "_reach").alias("reach"))
+
+
 def time_costs(edges: DataFrame, decided: DataFrame, intervals: DataFrame, config: RuntimeConfig) -> DataFrame:
-    """(ev, slot, end_dist, start_dist, cost) over all intervals of the slot, later ones too."""
-    near = edges.select("ev", "slot").join(decided.select("ev", "effective_end", "start_est"), "ev").join(intervals, "slot")
-    found = near.groupBy("ev", "slot").agg(F.min(end_distance(F.col("effective_end"), F.col("st"), F.col("et"))).alias("end_dist"), F.min(F.abs(F.col("st") - F.col("start_est"))).alias("start_dist"))
-    return found.withColumn("cost", F.col("end_dist") + F.lit(config.start_weight) * F.col("start_dist"))
+    """(ev, slot, end_dist, start_dist, cost) over all intervals of the slot, later ones too; an interval ends at its start or later."""
+    asked = edges.select("ev", "slot").join(decided.select("ev", "effective_end", "start_est"), "ev")
+    found = nearest(asked.select("slot", F.explode(F.array("effective_end", "start_est")).alias("t")).where("t is not null").distinct(), intervals, config.bucket)
+    at = lambda t, *names: found.select("slot", F.col("t").alias(t), *(F.col(a).alias(b) for a, b in names))
+    near = asked.join(at("effective_end", ("after", "_next"), ("reach", "_reach")), ["slot", "effective_end"]).join(at("start_est", ("before", "_lo"), ("after", "_hi")), ["slot", "start_est"])
+    past = F.when(F.col("_reach").isNotNull(), F.greatest(F.col("effective_end") - F.col("_reach"), F.lit(0)))
+    end_dist, start_dist = F.least(F.col("_next") - F.col("effective_end"), past), F.least(F.col("start_est") - F.col("_lo"), F.col("_hi") - F.col("start_est"))
+    costs = near.select("ev", "slot", end_dist.alias("end_dist"), start_dist.alias("start_dist")).where("start_dist is not null")
+    return costs.withColumn("cost", F.col("end_dist") + F.lit(config.start_weight) * F.col("start_dist"))
 
 
 def ranked(costs: DataFrame, cost: str = "cost", row: str = "ev", slot: str = "slot") -> DataFrame:

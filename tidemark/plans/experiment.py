@@ -10,14 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.config import Matcher, RuntimeConfig
 from tidemark.operators import gate, matchers, metrics, timeline
 from tidemark.sources import generator, waves
-from tidemark.sources.scratch import folder
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder: what several matchers replay is made once."""
-    path = folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from tidemark.sources.scratch import written
 
 
 def edges(spark: SparkSession, ids: list[int], scenario: generator.Scenario, config: RuntimeConfig) -> tuple[DataFrame, DataFrame]:

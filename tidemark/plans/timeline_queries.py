@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import align, gate, metrics, timeline
 from tidemark.plans import fixtures as fx
 from tidemark.plans.registry import query
+from tidemark.sources.scratch import written
 
 C = fx.DAYS
 
@@ -227,7 +228,7 @@ SELECT a.ev AS first_ev, b.ev AS later_ev, a.slot, a.decision_ts = b.decision_ts
 def j15(spark, sf_dir):
     from tidemark.operators import analysis
 
-    return analysis.duplicate_claims(linked(spark, sf_dir).where("slot is not null"))
+    return analysis.duplicate_claims(written(linked(spark, sf_dir).where("slot is not null")))
 
 
 @query("a21g_duplicate_counters", WITH_ALL + """, l AS (SELECT dec.ev, slot, decision_ts, session_end FROM dec JOIN rk USING (ev) WHERE candidate_rank = 1),
@@ -236,7 +237,7 @@ SELECT count(*) AS claims, count(*) FILTER (same_batch) AS in_batch, (SELECT cou
 def a21g(spark, sf_dir):
     from tidemark.operators import analysis
 
-    claims = analysis.duplicate_claims(linked(spark, sf_dir).where("slot is not null"))
+    claims = analysis.duplicate_claims(written(linked(spark, sf_dir).where("slot is not null")))
     each = claims.select("same_batch", F.posexplode(F.array("first_ev", "later_ev")).alias("k", "ev"))
     first = F.col("k") == 0
     return each.agg(F.count_if(first).alias("claims"), F.count_if(first & F.col("same_batch")).alias("in_batch"), F.count_distinct("ev").alias("sessions"))

@@ -1,4 +1,4 @@
-"""Folders for intermediate tables: under spark.checkpoint.dir, which driver and executors share."""
+"""Intermediate tables: in folders under spark.checkpoint.dir, which driver and executors share."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -22,3 +22,10 @@ def folder(spark: SparkSession) -> str:
     at = context._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
     return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder: what is read more than once is made once."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
