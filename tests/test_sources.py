@@ -132,3 +132,24 @@ def test_blocked_reasons_follow_the_remaining_time():
     s = generator.Scenario(sessions=400, slots=5, patterns=6, last_arrival=4_000)
     blocked = generator.make(9, s)["blocked"]
     assert len(blocked) and set(blocked.reason) <= set(generator.BLOCKED)
+
+
+def test_separated_codebook_keeps_its_demands():
+    book, rungs, given_up = generator.separated_codebook(4, np.random.RandomState(4), apart=31)
+    points = book[:, 1:]
+    assert book.shape == (4, 6) and (book[:, 0] == 0).all() and not given_up
+    apart = np.abs(points[:, None] - points[None]).sum(axis=2)[np.triu_indices(4, 1)]
+    assert apart.min() >= (31 if rungs == 0 else 29)
+    assert np.diff(np.sort(points, axis=1), axis=1).min() >= 2 and points.min() >= 6 and points.max() <= 30
+    again, _, _ = generator.separated_codebook(4, np.random.RandomState(4), apart=31)
+    assert (again == book).all()
+    # a narrow band can't hold so many patterns apart: they are random and different
+    narrow, rungs, given_up = generator.separated_codebook(60, np.random.RandomState(4), low=6, high=11, pool=200)
+    assert given_up and rungs > 0 and len(np.unique(narrow, axis=0)) == 60 and narrow[:, 1:].max() <= 11
+    with pytest.raises(ValueError):
+        generator.separated_codebook(3, np.random.RandomState(4), low=6, high=9)
+
+
+def test_demands_are_relaxed_in_order():
+    rungs = list(generator.relaxed(3, 7, 33))
+    assert rungs == [(3, 7, 33), (3, 7, 31), (3, 7, 29), (3, 6, 29), (2, 6, 33), (2, 6, 31), (2, 6, 29)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -51,13 +53,13 @@ def _dense(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, slots, cost
 
 
-def optimal(batch: pd.DataFrame, switch_penalty: float = 0.0) -> pd.DataFrame:
-    """(row, slot, cost): the cheapest matching; pairs without a cost count a little more than the dearest, and are dropped."""
+def optimal(batch: pd.DataFrame, switch_penalty: float = 0.0, forbidden: bool = False) -> pd.DataFrame:
+    """(row, slot, cost): the cheapest matching; pairs without a cost count a little more than the dearest, and are dropped, or with `forbidden` given at an infinite cost."""
     rows, slots, cost = _dense(batch)
     known = np.isfinite(cost)
     full = np.where(known, cost, cost[known].max() + max(1.0, 100 * switch_penalty) if known.any() else 1e9)
     r, c = least_cost(full)
-    keep = known[r, c]
+    keep = known[r, c] | forbidden
     return pd.DataFrame({"row": rows[r[keep]], "slot": slots[c[keep]], "cost": cost[r[keep], c[keep]]})
 
 
@@ -79,7 +81,7 @@ def greedy(batch: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["row", "slot", "cost"])
 
 
-METHODS = {"optimal": optimal, "greedy": greedy}
+METHODS = {"optimal": optimal, "penalised": partial(optimal, forbidden=True), "greedy": greedy}
 
 
 def assigned(edges: DataFrame, method: str, last_resort: bool = False) -> DataFrame:

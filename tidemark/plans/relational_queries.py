@@ -74,11 +74,12 @@ def j14(spark, sf_dir):
     return _pattern_pairs(spark, sf_dir)
 
 
-@query("p20_codebook_statistics", _PP + ", g AS (SELECT min(list_min(list_transform(range(3, 7), lambda k: abs(p[k] - p[k - 1])))) AS consecutive, count(DISTINCT p) AS patterns FROM pat) SELECT patterns, min(l1) AS l1_min, round(avg(l1), 6) AS l1_mean, any_value(consecutive) AS consecutive_min FROM pp, g GROUP BY patterns")
+@query("p20_codebook_statistics", _PP + ", g AS (SELECT min(list_min(list_transform(range(3, 7), lambda k: abs(p[k] - p[k - 1])))) AS consecutive, min(list_min(flatten(list_transform(range(2, 6), lambda i: list_transform(range(i + 1, 7), lambda j: abs(p[i] - p[j])))))) AS internal, count(DISTINCT p) AS patterns FROM pat) SELECT patterns, min(l1) AS l1_min, round(avg(l1), 6) AS l1_mean, any_value(consecutive) AS consecutive_min, any_value(internal) AS internal_min FROM pp, g GROUP BY patterns")
 def p20(spark, sf_dir):
     p = fx.patterns(spark, sf_dir)
     gap = F.expr("array_min(transform(sequence(2, 5), k -> abs(p[k] - p[k - 1])))")
-    own = p.agg(F.min(gap).alias("consecutive_min"), F.count_distinct("p").alias("patterns"))
+    any_two = F.expr("array_min(flatten(transform(sequence(1, 4), i -> transform(sequence(i + 1, 5), j -> abs(p[i] - p[j])))))")
+    own = p.agg(F.min(gap).alias("consecutive_min"), F.min(any_two).alias("internal_min"), F.count_distinct("p").alias("patterns"))
     return _pattern_pairs(spark, sf_dir).agg(F.min("l1").alias("l1_min"), r6(F.avg("l1"), "l1_mean")).crossJoin(F.broadcast(own))
 
 

@@ -66,6 +66,80 @@ def codebook(n: int, rng: np.random.RandomState, steps: int = 6, apart: int = 4,
     return np.concatenate([np.zeros((len(chosen), 1), dtype=int), draws[chosen]], axis=1)
 
 
+def walks(n: int, rng: np.random.RandomState, steps: int, gap: int, step: int, low: int, high: int) -> np.ndarray:
+    """Random sequences of different set-points; each is one of the three farthest from the one before.
+
+    Set-points at least `step` from the one before come first, else the farthest; of them those `gap` from all before, if
+    there are any. Sequences that break the gap are left out. All sequences grow side by side.
+    """
+    points = np.arange(low, high + 1)
+    out = rng.choice(points, n)[:, None]
+    while out.shape[1] < steps - 1:
+        away = np.abs(points - out[:, :, None])
+        free, last = away.min(axis=1) > 0, away[:, -1]
+        enough = free & (last >= step)
+        most = np.where(free, last, -1).max(axis=1, keepdims=True)
+        choice = np.where(enough.any(axis=1, keepdims=True), enough, free & (last == most))
+        wide = choice & (away.min(axis=1) >= gap)
+        choice = np.where(wide.any(axis=1, keepdims=True), wide, choice)
+        order = np.argsort(np.where(choice, -last, 1), axis=1, kind="stable")
+        pick = (rng.random_sample(n) * np.minimum(3, choice.sum(axis=1))).astype(int)
+        out = np.column_stack([out, points[order[np.arange(n), pick]]])
+    ordered = np.sort(out, axis=1)
+    return out[np.diff(ordered, axis=1).min(axis=1) >= gap] if steps > 2 else out
+
+
+def relaxed(gap: int, step: int, apart: int):
+    """(gap, step, apart), less strict each time: the distance by two to 30, the step by one to 6, then the gap by one to 2 with the distance as at first."""
+    now = apart
+    while True:
+        yield gap, step, now
+        if now > 30:
+            now -= 2
+        elif step > 6:
+            step -= 1
+        elif gap > 2:
+            gap, now = gap - 1, apart
+        else:
+            return
+
+
+def _features(book: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    full = np.concatenate([np.zeros((len(book), 1)), book], axis=1)
+    spread = full.std(axis=1, keepdims=True)
+    return full, np.where(spread > 1e-6, full - full.mean(axis=1, keepdims=True), 0) / np.maximum(spread, 1e-6), np.diff(full, axis=1)
+
+
+def separated_codebook(n: int, rng: np.random.RandomState, steps: int = 6, gap: int = 4, step: int = 10, apart: int = 45, pool: int = 3_000, low: int = LOW, high: int = HIGH) -> tuple[np.ndarray, int, bool]:
+    """(n patterns of zero and steps - 1 set-points, how often the demands were relaxed, whether they were given up).
+
+    Any two patterns are `apart` in l1, set-points of one pattern `gap`, consecutive ones `step` where that goes. From the
+    most spread sequence on, always the one whose nearest chosen one is farthest by the proxy distance. If a pool has too
+    few, the next one is drawn under weaker demands; at their end the patterns are random.
+    """
+    if low < 1 or high - low + 1 < max(5, steps - 1):
+        raise ValueError("set-points must lie above 0 and be as many as a pattern has, five at least")
+    for rungs, (g, s, a) in enumerate(relaxed(gap, step, apart)):
+        draws = walks(pool, rng, steps, g, s, low, high)
+        if not len(draws):
+            continue
+        full, z, d = _features(draws)
+        at, chosen = int(draws.std(axis=1).argmax()), []
+        near, far = np.full(len(draws), np.inf), np.full(len(draws), np.inf)
+        while len(chosen) < n:
+            chosen.append(at)
+            near = np.minimum(near, np.abs(draws - draws[at]).sum(axis=1))
+            proxy = np.linalg.norm(z - z[at], axis=1) + 0.05 * np.abs(full - full[at]).mean(axis=1) + 0.02 * np.abs(d - d[at]).mean(axis=1) + 0.01 * np.abs(full.mean(axis=1) - full[at].mean())
+            far = np.minimum(far, proxy)
+            open_ = near >= max(a, 1)
+            if not open_.any():
+                break
+            at = int(np.where(open_, far, -1).argmax())
+        if len(chosen) == n:
+            return np.concatenate([np.zeros((n, 1), dtype=int), draws[chosen]], axis=1), rungs, False
+    return random_codebook(n, rng, steps, low, high, ordered=False), rungs + 1, True
+
+
 def random_codebook(n: int, rng: np.random.RandomState, steps: int = 6, low: int = LOW, high: int = HIGH, ordered: bool = True) -> np.ndarray:
     """n different random patterns, in their order or as drawn."""
     seen: dict[tuple, None] = {}
