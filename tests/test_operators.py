@@ -282,3 +282,26 @@ def test_time_costs_agree_with_all_intervals(spark):
     found = gate.time_costs(edges, d, iv, c).collect()
     assert len(found) == len(want) and {(r.ev, r.slot): (r.end_dist, r.start_dist) for r in found} == want
     assert gate.time_costs(edges, d, iv.where("false"), c).count() == 0
+
+
+@pytest.mark.parametrize("margin", [20, 0])
+def test_counts_agree_with_candidates(spark, margin):
+    rng = random.Random(11)
+    c = RuntimeConfig(window=60, bound=10, margin=margin, bucket=60)
+    decided = [(ev, t, t + rng.randint(-30, 40), rng.randrange(8)) for ev in range(80) for t in [rng.randrange(-200, 800)]] + [(80, None, None, 1)]
+    busy = [(rng.randrange(6), a, a + rng.choice([-1, 0, 1, 2, 3, 4, 30, 120])) for a in (rng.randrange(-300, 900) for _ in range(150))]
+    d = spark.createDataFrame(decided, "ev long, effective_end long, decision_ts long, own long")
+    iv = spark.createDataFrame(busy + busy[:5], "slot long, st long, et long")
+    pairs = [(r.ev, r.slot) for r in gate.candidates(d, iv, c).collect()]
+    got = {r.ev: r.candidates for r in gate.candidate_counts(d, iv, c).collect()}
+    assert got == {ev: sum(e == ev for e, _ in pairs) for ev, *_ in decided} and len(set(got.values())) > 3
+    own = {r.ev for r in gate.own_in_gate(d, iv, c, "own").collect()}
+    assert own == {ev for ev, _, _, s in decided if (ev, s) in pairs} and own
+
+
+@pytest.mark.parametrize("name", ["j3_truth_in_gate", "a11g_loop_counters", "a15g_candidate_summary", "a16g_candidate_cdf"])
+def test_counts_list_no_pairs(spark, monkeypatch, name):
+    from tidemark.plans import catalogue
+
+    monkeypatch.setattr(gate, "candidates", None)
+    assert catalogue.queries()[name](spark, "/root/testdata/sf0.001").count() > 0

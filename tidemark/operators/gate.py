@@ -14,24 +14,67 @@ def bucketed(df: DataFrame, low: Column, high: Column, width: int) -> DataFrame:
     return df.where(low <= high).withColumn("_bucket", F.explode(F.sequence(cell(low), cell(high))))
 
 
-def candidates(decided: DataFrame, intervals: DataFrame, config: RuntimeConfig) -> DataFrame:
-    """(ev, slot) of decided, a row a session: slots busy at any of the probes, every `tick` from effective_end - margin to the decision or + margin.
-
-    Both ends of an interval are busy. An interval between two probes isn't seen; a window that ends before it begins has one probe at its end.
-    """
+def probes(decided: DataFrame, config: RuntimeConfig, *more: Column) -> DataFrame:
+    """(ev, _lo, _hi, more): first and last probe of each session's window."""
     low = F.col("effective_end") - config.margin
     high = F.least(F.col("effective_end") + config.margin, F.col("decision_ts"))
     if config.margin <= 0:
         low = high = F.least(F.col("effective_end"), F.col("decision_ts"))
-    probes = decided.select("ev", F.least(low, high).alias("_lo"), high.alias("_hi"))
+    return decided.select("ev", F.least(low, high).alias("_lo"), high.alias("_hi"), *more)
+
+
+def _met(windows: DataFrame, intervals: DataFrame, config: RuntimeConfig, *keys: str) -> DataFrame:
+    """windows with each interval that one of their probes lies in; keys: columns that window and interval share."""
     step = config.tick
     first = F.greatest(F.lit(0), F.ceil((F.col("st") - F.col("_lo")) / step))
     last = F.least(F.floor((F.col("_hi") - F.col("_lo")) / step), F.floor((F.col("et") - F.col("_lo")) / step))
+    left = bucketed(windows, F.col("_lo"), F.col("_hi"), config.bucket)
+    right = bucketed(intervals.select("slot", "st", "et").distinct(), F.col("st"), F.col("et"), config.bucket)
+    return left.join(right, ["_bucket", *keys]).where(first <= last)
+
+
+def candidates(decided: DataFrame, intervals: DataFrame, config: RuntimeConfig) -> DataFrame:
+    """(ev, slot) of decided, a row a session: slots busy at any of the probes, every `tick` from effective_end - margin to the decision or + margin.
+
+    Both ends of an interval are busy. An interval between two probes isn't seen; a window that ends before it begins has one probe at its end.
+    """
+    asked = probes(decided, config)
     # sessions with the same window ask once
-    left = bucketed(probes.select("_lo", "_hi").distinct(), F.col("_lo"), F.col("_hi"), config.bucket)
-    right = bucketed(intervals.select("slot", "st", "et").distinct(), F.col("st"), F.col("et"), config.bucket).withColumnRenamed("_bucket", "_cell")
-    met = left.join(right, (F.col("_bucket") == F.col("_cell")) & (first <= last)).select("_lo", "_hi", "slot").distinct()
-    return probes.join(met, ["_lo", "_hi"]).select("ev", "slot")
+    met = _met(asked.select("_lo", "_hi").distinct(), intervals, config).select("_lo", "_hi", "slot").distinct()
+    return asked.join(met, ["_lo", "_hi"]).select("ev", "slot")
+
+
+def candidate_counts(decided: DataFrame, intervals: DataFrame, config: RuntimeConfig) -> DataFrame:
+    """(ev, candidates): how many slots candidates() gives each session, 0 if none, without listing them. Times are whole units.
+
+    The probes of a window share their remainder by `tick`. For each remainder a slot's intervals are cut into pieces of
+    probes that don't overlap. A window's slots are the pieces at its first probe and those that begin at a later one,
+    unless the slot's probe before lies in the window too. Joined are counts by probe, as few as there are times.
+    """
+    step, far = config.tick, 2 * max(config.margin, 0) // config.tick + 1
+    asked = probes(decided, config)
+    place = lambda t: F.floor((F.col(t) - F.col("_r")) / step).cast("long")
+    windows = asked.where("_lo <= _hi").select("_lo", "_hi").distinct().withColumn("_r", F.pmod(F.col("_lo"), F.lit(step))).withColumn("_a", place("_lo")).withColumn("_b", place("_hi"))
+    held = intervals.select("slot", "st", "et").distinct().crossJoin(F.broadcast(windows.select("_r").distinct()))
+    held = held.select("slot", "_r", F.ceil((F.col("st") - F.col("_r")) / step).cast("long").alias("_s"), place("et").alias("_e")).where("_s <= _e")
+    before = Window.partitionBy("slot", "_r").orderBy("_s", "_e").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = held.withColumn("_prev", F.max("_e").over(before)).where("_prev is null or _e > _prev").withColumn("_s", F.greatest("_s", F.col("_prev") + 1))
+    begun = pieces.groupBy("_r", F.col("_s").alias("_p"), F.when(F.col("_s") - F.col("_prev") <= far, F.col("_prev")).alias("_prev")).agg(F.count("*").alias("_n"))
+    ended = pieces.groupBy("_r", (F.col("_e") + 1).alias("_p")).agg((-F.count("*")).alias("_d"))
+    points = windows.select("_lo", "_hi", "_r", "_a", F.explode(F.sequence("_a", "_b")).alias("_p"))
+    none = F.lit(None).cast("array<struct<_prev:bigint,_n:bigint>>")
+    changes = begun.groupBy("_r", "_p").agg(F.sum("_n").alias("_d"), F.collect_list(F.struct("_prev", "_n")).alias("_begun"))
+    changes = changes.unionByName(ended.withColumn("_begun", none)).unionByName(points.select("_r", "_p").distinct().withColumn("_d", F.lit(0).cast("long")).withColumn("_begun", none))
+    by_probe = changes.groupBy("_r", "_p").agg(F.sum("_d").alias("_d"), F.first("_begun", ignorenulls=True).alias("_begun"))
+    by_probe = by_probe.withColumn("_busy", F.sum("_d").over(Window.partitionBy("_r").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)))
+    fresh = F.expr("aggregate(filter(coalesce(_begun, array()), x -> x._prev is null or x._prev < _a), 0L, (n, x) -> n + x._n)")
+    found = points.join(by_probe, ["_r", "_p"]).groupBy("_lo", "_hi").agg(F.sum(F.when(F.col("_p") == F.col("_a"), F.col("_busy")).otherwise(fresh)).alias("candidates"))
+    return asked.join(found, ["_lo", "_hi"], "left").select("ev", F.coalesce("candidates", F.lit(0)).alias("candidates"))
+
+
+def own_in_gate(decided: DataFrame, intervals: DataFrame, config: RuntimeConfig, own: str) -> DataFrame:
+    """(ev) of the sessions whose slot `own` is among their candidates."""
+    return _met(probes(decided, config, F.col(own).alias("slot")), intervals, config, "slot").select("ev").distinct()
 
 
 def with_fallback(decided: DataFrame, gated: DataFrame, slots: DataFrame) -> DataFrame:
