@@ -20,9 +20,10 @@ def close(column: str, value: float, absolute: float = 1e-9, relative: float = 1
 
 
 def z_scores(v: str) -> Column:
-    mean = f"aggregate({v}, 0D, (a, x) -> a + x) / size({v})"
-    std = f"sqrt(aggregate({v}, 0D, (a, x) -> a + (x - {mean}) * (x - {mean})) / size({v}))"
-    return F.expr(f"transform({v}, x -> if({std} < 1e-6, 0D, (x - {mean}) / {std}))")
+    # mean and deviation are taken once for each array: they are passed on as the items of arrays of one
+    mean = f"aggregate({v}, 0D, (a, x) -> a + x) / nullif(size({v}), 0)"
+    std = f"sqrt(aggregate({v}, 0D, (a, x) -> a + (x - m) * (x - m)) / nullif(size({v}), 0))"
+    return F.expr(f"flatten(transform(array({mean}), m -> flatten(transform(array({std}), d -> transform({v}, x -> if(d < 1e-6, 0D, (x - m) / d))))))")
 
 
 def mean_of(v: str) -> Column:
