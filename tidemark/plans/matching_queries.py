@@ -170,7 +170,9 @@ _GREEDY = _CO + _PICKED + " SELECT batch, row, slot FROM chosen"
 
 @query("m4_greedy_assignment", _GREEDY)
 def m4(spark, sf_dir):
-    return assign.assigned(_full(_edges(spark, sf_dir)), "greedy").select("batch", "row", "slot")
+    # batches of any size; where slots are fewer than rows, the last rows have none
+    found = assign.assigned(_edges(spark, sf_dir), "greedy")
+    return found.select("batch", "row", F.when(~F.col("fallback"), F.col("slot")).alias("slot"))
 
 
 _ALLOWED = "(same OR (ri + cj) % 4 <> 0) AND NOT (ri = 2 AND batch % 3 = 0)"
