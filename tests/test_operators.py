@@ -373,3 +373,26 @@ def test_greedy_query_keeps_small_batches(spark, tmp_path):
     got = oracle.spark_rows(catalogue.queries()["m4_greedy_assignment"](spark, str(tmp_path)))
     assert got == oracle.duckdb_rows(con, catalogue.oracle_sql()["m4_greedy_assignment"])
     assert any("~" in row for row in got[1])
+
+
+def test_listed_pairs_agree_with_joins(spark):
+    rng = random.Random(19)
+    c = RuntimeConfig(window=60, bound=10, margin=20, bucket=50)
+    decided = [(ev, t - rng.randint(0, 60), t, t + rng.randint(-5, 20)) for ev in range(60) for t in [rng.randrange(-100, 300)]] + [(60, 0, 5_000, 5_010), (61, None, None, None)]
+    busy = [(rng.randrange(25), a, a + rng.choice([0, 3, 40])) for a in (rng.randrange(-150, 350) for _ in range(120))] + [(None, 40, 60)]
+    d = spark.createDataFrame(decided, "ev long, start_est long, effective_end long, decision_ts long")
+    iv = spark.createDataFrame(busy, "slot long, st long, et long")
+    costs = gate.time_costs(gate.candidates(d, iv, c), d, iv, c)
+    plain = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert plain(ranking.listed(d, iv, c)) == plain(costs.select("ev", "slot", "end_dist", "cost"))
+    assert plain(ranking.ranked(d, iv, c)) == plain(gate.ranked(costs).select("ev", "slot", "candidate_rank"))
+    assert plain(gate.gated_or_all(d, iv, c)) == plain(gate.with_fallback(d, gate.candidates(d, iv, c), iv))
+
+
+@pytest.mark.parametrize("name", ["j2_gate_fallback", "j8_time_cost", "w4_candidate_rank"])
+def test_pairs_are_not_joined(spark, monkeypatch, name):
+    from tidemark.plans import catalogue
+
+    for joined in ("candidates", "with_fallback", "time_costs"):
+        monkeypatch.setattr(gate, joined, None)
+    assert catalogue.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
