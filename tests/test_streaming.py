@@ -19,3 +19,17 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert got[at(0)] == (1, 1.0) and got[at(180)] == (2, 3.0) and got[at(360)] == (2, 5.0)
     once = spark.readStream.schema(schemas.EVENTS).parquet(str(tmp_path / "in/*"))
     assert run_to_end(decisions.latest_visible(once, "10 days"), "append").groupBy().agg(F.count("*")).first()[0] == 6
+
+
+def test_decisions_keep_no_python_state(spark, tmp_path):
+    from tidemark.config import RuntimeConfig
+
+    at = lambda s: dt.datetime.fromtimestamp(s, dt.UTC)
+    rows = [(1, 0, 100, 0, at(0)), (2, 0, 30, 0, at(0)), (3, 900, 905, 0, at(0)), (4, 5, 5, 5, at(5)), (-1, 0, 0, 0, at(500))]
+    spark.createDataFrame(rows, "ev long, start_est long, session_end long, arrival long, event_time timestamp").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ev long, start_est long, session_end long, arrival long, event_time timestamp").parquet(str(tmp_path / "in"))
+    found = decisions.decided(stream, RuntimeConfig(window=60, bound=10))
+    assert "Pandas" not in found._jdf.queryExecution().logical().toString()
+    # the third isn't due by the last event time, the fourth is due when it arrives
+    got = {r.ev: (r.decision_ts, r.reason) for r in run_to_end(found, "append").collect()}
+    assert got == {1: (70, "window_watermark"), 2: (30, "session_end_before_watermark"), 4: (5, "session_end_before_watermark")}

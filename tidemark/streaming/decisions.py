@@ -1,62 +1,31 @@
-"""The streaming tier: sessions decided by event-time timers, tumbling and session windows over telemetry."""
+"""The streaming tier: sessions decided by event-time windows, tumbling and session windows over telemetry."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.config import RuntimeConfig
+from tidemark.operators.timeline import EARLY_END, WATERMARK
 
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
-OUTPUT = "ev long, decision_ts long, reason string"
-
-
-class Decide(StatefulProcessor):
-    """Keeps a session until event time passes its watermark or its early end, then gives its one decision.
-
-    Times are whole units; event time is unit `seconds` after the epoch.
-    """
-
-    def __init__(self, config: RuntimeConfig, seconds: int):
-        self.config, self.seconds = config, seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.kept = handle.getValueState("session", "start_est long, session_end long, arrival long")
-
-    def _due(self, start: int, end: int, arrival: int) -> tuple[int, str]:
-        ready = min(start + self.config.window, end) + self.config.bound
-        return (max(ready, arrival), "window_watermark") if end >= ready else (end, "session_end_before_watermark")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for start, end, arrival in zip(batch["start_est"], batch["session_end"], batch["arrival"], strict=True):
-                if not self.kept.exists():
-                    self.kept.update((int(start), int(end), int(arrival)))
-                    self.handle.registerTimer(self._due(int(start), int(end), int(arrival))[0] * self.seconds * 1000)
-        yield pd.DataFrame({"ev": [], "decision_ts": [], "reason": []}).astype({"ev": "int64", "decision_ts": "int64", "reason": "object"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at, why = self._due(*self.kept.get())
-        self.kept.clear()
-        yield pd.DataFrame({"ev": [int(key[0])], "decision_ts": [at], "reason": [why]})
-
-    def close(self) -> None:
-        pass
 
 
 def decided(sessions: DataFrame, config: RuntimeConfig, seconds: int = 1, late: str = "0 seconds") -> DataFrame:
     """(ev, decision_ts, reason) of a stream of sessions (ev, start_est, session_end, arrival, event_time).
 
-    Sessions of negative ids only move event time on. A session's own timer sets the decision, not the global watermark;
-    the session must have the RocksDB state store, see STATE_STORE.
+    A session's window lasts until event time passes its watermark or its early end; then its one decision is given. Times
+    are whole units, event time is unit `seconds` after the epoch. Sessions of negative ids only move event time on.
     """
-    kept = sessions.withWatermark("event_time", late)
-    return kept.groupBy("ev").transformWithStateInPandas(Decide(config, seconds), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime").where("ev >= 0")
+    ready = F.least(F.col("start_est") + config.window, F.col("session_end")) + config.bound
+    on_time = F.col("session_end") >= ready
+    due, why = F.when(on_time, F.greatest(ready, "arrival")).otherwise(F.col("session_end")), F.when(on_time, WATERMARK).otherwise(EARLY_END)
+    # a window must last: what is due on arrival waits for the next second
+    wait = F.greatest(due * seconds - F.unix_seconds("event_time"), F.lit(1))
+    kept = sessions.withWatermark("event_time", late).withColumn("_due", F.struct("event_time", due.alias("decision_ts"), why.alias("reason")))
+    found = kept.groupBy("ev", F.session_window("event_time", F.concat(wait.cast("string"), F.lit(" seconds")))).agg(F.min("_due").alias("_due"), F.max("ev").alias("_last"))
+    # a filter by the key would drop negative ids before they move event time
+    return found.where("_last >= 0").select("ev", "_due.decision_ts", "_due.reason")
 
 
 def block_means(events: DataFrame, width: str, late: str) -> DataFrame:
