@@ -323,6 +323,40 @@ def test_cheapest_and_rank_agree_with_all_pairs(spark):
     assert ranking.cheapest(d, iv.where("false"), c).count() == 0
 
 
+def _spread(rng, slots):
+    decided = [(ev, t - rng.randint(0, 60), t, t + rng.randint(-5, 20)) for ev in range(80) for t in [rng.randrange(-100, 300)]] + [(80, 0, 5_000, 5_010), (81, None, None, None), (82, 10, 50, 20)]
+    busy = [(rng.randrange(slots), a, a + rng.choice([0, 3, 40, 90])) for a in (rng.randrange(-150, 350) for _ in range(12 * slots))]
+    return decided, busy
+
+
+def test_lowest_slots_settle_a_question_and_others_get_the_rest(spark, monkeypatch):
+    c = RuntimeConfig(window=60, bound=10, margin=20, bucket=50)
+    decided, busy = _spread(random.Random(29), 40)
+    d = spark.createDataFrame(decided, "ev long, start_est long, effective_end long, decision_ts long")
+    iv = spark.createDataFrame(busy + busy[:5], "slot long, st long, et long")
+    costs = gate.time_costs(gate.candidates(d, iv, c), d, iv, c).toPandas().sort_values(["ev", "cost", "slot"])
+    want = {ev: (g["slot"].iloc[0], g["cost"].iloc[0], g["cost"].iloc[1] - g["cost"].iloc[0] if len(g) > 1 else None) for ev, g in costs.groupby("ev")}
+    assert {m == 0 for *_, m in want.values()} == {True, False}
+    for lowest, few in ((1024, 1), (30, 1), (3, 1000)):
+        monkeypatch.setattr(ranking, "LOWEST", lowest)
+        monkeypatch.setattr(ranking, "FEW", few)
+        linked = {r.ev: (r.start_est, r.slot, r.cost, r.margin) for r in ranking.linked(d, iv, c).collect()}
+        assert linked == {ev: (start, *want.get(ev, (None, None, None))) for ev, start, *_ in decided}
+
+
+def test_settled_questions_price_few_slots(monkeypatch):
+    import pandas as pd
+
+    c = RuntimeConfig(window=60, bound=10, margin=20, bucket=50)
+    held = pd.DataFrame([(s, 0, 100) for s in range(5_000)], columns=["slot", "st", "et"])
+    asked = pd.DataFrame([(0, t, t - 20, t + 10) for t in range(60, 90)], columns=ranking.TIMES)
+    priced = []
+    whole = ranking._priced
+    monkeypatch.setattr(ranking, "_priced", lambda a, block, config: priced.append(len(block.slots)) or whole(a, block, config))
+    found = ranking._first_two(asked, held, c)
+    assert len(found) == 30 and set(found["slot"]) == {0} and set(found["second"]) == {0} and sum(priced) < 100
+
+
 def test_claim_counts_agree_with_claims(spark):
     rng = random.Random(17)
     links = [(ev, rng.randrange(4), t, t + rng.choice([0, 0, 1, 5, 30])) for ev in range(150) for t in [rng.randrange(-60, 60)]] + [(150, 1, None, None)]
