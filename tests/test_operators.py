@@ -357,6 +357,25 @@ def test_settled_questions_price_few_slots(monkeypatch):
     assert len(found) == 30 and set(found["slot"]) == {0} and set(found["second"]) == {0} and sum(priced) < 100
 
 
+def test_gate_by_lists_agrees_with_pairs(spark):
+    c = RuntimeConfig(window=60, bound=10, margin=20, bucket=50)
+    decided, busy = _spread(random.Random(31), 30)
+    d = spark.createDataFrame(decided, "ev long, start_est long, effective_end long, decision_ts long")
+    iv = spark.createDataFrame([*busy, *busy[:5], (None, 0, 90), (3, 70, 60)], "slot long, st long, et long")
+    want = sorted(map(tuple, gate.candidates(d, iv, c).collect()), key=str)
+    assert sorted(map(tuple, ranking.gated(d, iv, c).collect()), key=str) == want and any(slot is None for _, slot in want)
+    assert ranking.gated(d, iv.where("false"), c).count() == 0
+
+
+def test_gate_query_lists_windows(spark, monkeypatch):
+    from tidemark.plans import catalogue
+
+    met, whole = [], gate._met
+    monkeypatch.setattr(gate, "_met", lambda w, iv, *more: met.append(iv.where("slot is not null").count()) or whole(w, iv, *more))
+    assert catalogue.queries()["j1_candidate_gate"](spark, "/root/testdata/sf0.001").count() > 0
+    assert not any(met)
+
+
 def test_claim_counts_agree_with_claims(spark):
     rng = random.Random(17)
     links = [(ev, rng.randrange(4), t, t + rng.choice([0, 0, 1, 5, 30])) for ev in range(150) for t in [rng.randrange(-60, 60)]] + [(150, 1, None, None)]
