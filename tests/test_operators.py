@@ -449,3 +449,22 @@ def test_pairs_are_not_joined(spark, monkeypatch, name):
     for joined in ("candidates", "with_fallback", "time_costs"):
         monkeypatch.setattr(gate, joined, None)
     assert catalogue.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_gate_or_all_by_lists_agrees_with_pairs(spark):
+    rng, c = random.Random(37), RuntimeConfig(window=60, bound=10, margin=20, bucket=50)
+    decided = [(ev, t - rng.randint(0, 60), t, t + rng.randint(-45, 20)) for ev in range(80) for t in [rng.randrange(-100, 300)]] + [(80, 0, 5_000, 5_010), (81, None, None, None), (82, 400, 10, 15)]
+    busy = [(rng.randrange(25), a, a + rng.choice([0, 3, 40])) for a in (rng.randrange(-150, 350) for _ in range(120))] + [(None, 40, 60), (77, 10, 5), (78, None, None), (1, 9_000, 9_001)]
+    d = spark.createDataFrame(decided, "ev long, start_est long, effective_end long, decision_ts long")
+    iv = spark.createDataFrame(busy, "slot long, st long, et long")
+    plain = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    want = plain(gate.with_fallback(d, gate.candidates(d, iv, c), iv))
+    assert plain(ranking.gated_or_all(d, iv, c)) == want and {g for *_, g in want} == {True, False}
+    assert ranking.gated_or_all(d, iv.where("false"), c).count() == ranking.gated_or_all(d.where("false"), iv, c).count() == 0
+
+
+def test_fallback_query_meets_no_single_intervals(spark, monkeypatch):
+    from tidemark.plans import catalogue
+
+    monkeypatch.setattr(gate, "_met", None)
+    assert catalogue.queries()["j2_gate_fallback"](spark, "/root/testdata/sf0.001").count() > 0
