@@ -468,3 +468,26 @@ def test_fallback_query_meets_no_single_intervals(spark, monkeypatch):
 
     monkeypatch.setattr(gate, "_met", None)
     assert catalogue.queries()["j2_gate_fallback"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_priced_pairs_are_sent_in_bounded_batches(monkeypatch):
+    import pandas as pd
+    import pyarrow as pa
+
+    c = RuntimeConfig(window=60, bound=10, margin=20, bucket=50)
+    monkeypatch.setattr(ranking, "PAIRS", 64)
+    monkeypatch.setattr(ranking, "KEPT", 100)
+    held = pd.DataFrame({"slot": range(40), "st": [k % 7 for k in range(40)], "et": [90 + k for k in range(40)]}).astype("Int64")
+    asked = pa.RecordBatch.from_pydict({"ev": list(range(50)), "start_est": [k // 20 for k in range(50)], "effective_end": [60] * 50, "_lo": [40] * 50, "_hi": [70] * 50})
+    found = list(ranking._cost_each(asked, ranking.Slots(held, c)))
+    assert max(map(len, found)) <= 64 + 40 and sum(map(len, found)) == 50 * 40
+    rows = [tuple(r.values()) for b in found for r in b.to_pylist()]
+    assert sorted(rows) == [(ev, s, 0, 0.1 * abs(s % 7 - ev // 20)) for ev in range(50) for s in range(40)]
+
+
+def test_cost_query_gathers_no_lists(spark, monkeypatch):
+    from tidemark.plans import catalogue
+
+    monkeypatch.setattr(ranking, "_by_block", None)
+    found = catalogue.queries()["j8_time_cost"](spark, "/root/testdata/sf0.001")
+    assert found.count() > 0 and found.where("cost != round(cost, 6)").count() == 0
