@@ -491,3 +491,20 @@ def test_cost_query_gathers_no_lists(spark, monkeypatch):
     monkeypatch.setattr(ranking, "_by_block", None)
     found = catalogue.queries()["j8_time_cost"](spark, "/root/testdata/sf0.001")
     assert found.count() > 0 and found.where("cost != round(cost, 6)").count() == 0
+
+
+def test_order_by_places_is_that_by_cost():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for most in (3, 300, 5_000):
+        far, late = rng.integers(0, 25, 400).astype(float), rng.integers(0, most, 400).astype(float)
+        want = sorted(range(400), key=lambda k: (far[k] + 0.1 * late[k], k))
+        assert ranking._by_cost(far, late, 0.1).tolist() == want
+
+
+def test_rank_query_gathers_no_lists(spark, monkeypatch):
+    from tidemark.plans import catalogue
+
+    monkeypatch.setattr(ranking, "_by_block", None)
+    assert catalogue.queries()["w4_candidate_rank"](spark, "/root/testdata/sf0.001").count() > 0
