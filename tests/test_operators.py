@@ -508,3 +508,12 @@ def test_rank_query_gathers_no_lists(spark, monkeypatch):
 
     monkeypatch.setattr(ranking, "_by_block", None)
     assert catalogue.queries()["w4_candidate_rank"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_gate_query_shuffles_no_lists(spark, monkeypatch):
+    from tidemark.plans import catalogue
+
+    monkeypatch.setattr(ranking, "_by_block", None)
+    found = catalogue.queries()["j1_candidate_gate"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan[: plan.index("MapInArrow")] and found.columns == ["ev", "slot"]
