@@ -517,3 +517,15 @@ def test_gate_query_shuffles_no_lists(spark, monkeypatch):
     found = catalogue.queries()["j1_candidate_gate"](spark, "/root/testdata/sf0.001")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Exchange" not in plan[: plan.index("MapInArrow")] and found.columns == ["ev", "slot"]
+
+
+def test_a_list_stands_for_few_pairs(monkeypatch):
+    import pandas as pd
+    import pyarrow as pa
+
+    monkeypatch.setattr(ranking, "PAIRS", 64)
+    held = pd.DataFrame({"slot": range(20), "st": [0] * 20, "et": [90] * 20}).astype("Int64")
+    asked = pa.RecordBatch.from_pydict({"ev": list(range(50)), "_lo": [40] * 30 + [900] * 20, "_hi": [70] * 30 + [930] * 20})
+    rows = [r for b in ranking._windows(asked, ranking.Slots(held, RuntimeConfig(window=60, bound=10, margin=20, bucket=50))) for r in b.to_pylist()]
+    assert max(len(r["evs"]) * len(r["slots"]) for r in rows) <= 64
+    assert sorted((ev, s, r["gated"]) for r in rows for ev in r["evs"] for s in r["slots"]) == [(ev, s, ev < 30) for ev in range(50) for s in range(20)]
